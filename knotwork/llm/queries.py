@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knotwork.llm import encoding, neardup, neighbours, packing
+from knotwork.llm import encoding, language, neardup, neighbours, packing
 from knotwork.session import read_table
 
 
@@ -38,5 +38,25 @@ def p8_fill(spark, folder):
     return fill.groupBy("tokens").agg(F.count("*").alias("containers"), F.sum("parts").alias("parts"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_neighbours, p6_found, p6_groups, p7_ids, p8_pack, p8_fill)}
+def _texts(spark, folder):
+    return read_table(spark, folder, "documents"), read_table(spark, folder, "lang_samples")
+
+
+def p9_found(spark, folder):
+    return language.wrong_labels(*_texts(spark, folder))
+
+
+def p9_paragraphs(spark, folder):
+    return language.paragraph_languages(*_texts(spark, folder))
+
+
+def p9_segments(spark, folder):
+    return language.segment_languages(*_texts(spark, folder))
+
+
+def p9_documents(spark, folder):
+    return language.document_languages(*_texts(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_neighbours, p6_found, p6_groups, p7_ids, p8_pack, p8_fill, p9_found, p9_paragraphs, p9_segments, p9_documents)}
 ORACLES: dict[str, str] = {}
