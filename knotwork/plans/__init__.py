@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("records",)
+NAMES = ("records", "structure")
 
 
 def modules() -> list:
