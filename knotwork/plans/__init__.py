@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("records", "structure")
+NAMES = ("records", "structure", "code", "text")
 
 
 def modules() -> list:
