@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("records", "structure", "code", "text")
+NAMES = ("records", "structure", "code", "text", "files")
 
 
 def modules() -> list:
