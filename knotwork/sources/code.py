@@ -148,18 +148,21 @@ _BASES = {"typescript": re.compile(r"\bextends\s+([\w., ]+)"), "cpp": re.compile
 def extract_braces(path: str, text: str, language: str) -> tuple[list[dict], list[dict]]:
     """Rust, TypeScript and C++: declarations by pattern, their extent by braces, calls within functions.
 
-    Comments and strings are blanked first. Patterns see one line at a time, so declarations broken over lines
-    before their name are missed; this is a subset of the languages.
+    Comments and strings are blanked first. Patterns see at most one line at a time, so declarations broken over
+    lines before their name are missed; this is a subset of the languages.
     """
     rows = Rows(path, text)
     plain = _STRINGS.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text).split("\n")
     depth, scopes, waiting = 0, [], None  # scopes: (depth, qualified, kind, node index)
     attributes: list[str] = []
-    for number, (line, code) in enumerate(zip(rows.lines, plain), 1):
+    for number, line in enumerate(rows.lines, 1):
         for prefix, p in _IMPORTS[language]:
             m = p.match(line)
             if m:
                 rows.imports(next(g for g in m.groups() if g), prefix)
+    # a line may open a block and declare something within it, so patterns see it brace by brace
+    segments = [(number, part) for number, line in enumerate(plain, 1) for part in re.findall(r"[^{]*\{|[^{]+", line) or [""]]
+    for number, code in segments:
         parent = next((s for s in reversed(scopes)), (0, rows.root, "file", 0))
         if code.strip().startswith("#[") and language == "rust":
             attributes.append(code)
@@ -176,12 +179,12 @@ def extract_braces(path: str, text: str, language: str) -> tuple[list[dict], lis
                     break
                 test = any(re.search(r"\b(test|rstest|test_case)\b", a) for a in attributes)
                 own = rows.define(real, name, parent[1], number, number, test)
+                waiting = (own, real, len(rows.nodes) - 1)
                 base = _BASES.get(language)
                 if base and real == "class" and (b := base.search(code[m.end(1) if m.group(1) else m.end() :])):
                     for x in re.split(r"[\s,]+", b.group(1)):
                         if re.fullmatch(r"[\w:.]+", x) and x not in ("public", "private", "protected", "virtual", "implements", "extends"):
                             rows.inherits(own, x)
-                waiting = (own, real, len(rows.nodes) - 1)
                 break
             if code.strip():
                 attributes = []
