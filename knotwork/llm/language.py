@@ -42,8 +42,10 @@ DICTIONARY_BYTES = 48_000  # of each language
 
 _BREAK = re.compile(r"\r?\n(?:[ \t]*\r?\n)+")
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|(?<=[。！？；])|[\r\n]+")
-# code spans, links and ASCII words holding a mark of code or a digit; words of other scripts may touch them
-_NOISE = re.compile(r"`[^`\n]*`|https?://[!-~]+|[!-~]*(?:[_/\\<>=@{}\[\]|$#*+~^0-9]|::|[a-z]\(\))[!-~]*")
+# what makes an ASCII word code, a link or a number; words of other scripts may touch such words
+_CODE = re.compile(r"[_/\\<>=@{}\[\]|$#*+~^0-9]|::|[a-z]\(\)")
+_CODE_WORD = re.compile(rf"[!-~]*(?:{_CODE.pattern})[!-~]*")
+_SPAN = re.compile(r"`[^`\n]*`")
 _CJK = re.compile(r"[㐀-鿿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _LATIN = re.compile(r"[a-zà-öø-ɏ]")
@@ -59,9 +61,19 @@ def stated_language(label: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[base]
 
 
+def _plain_lines(text: str) -> list[str]:
+    """Lines of lower-case words, without code spans, links, identifiers, numbers and surplus space."""
+    if "`" in text:
+        text = _SPAN.sub(" ", text)
+    return [
+        " ".join(w if w.isalpha() or not _CODE.search(w) else "" if w.isascii() else _CODE_WORD.sub(" ", w) for w in line.split())
+        for line in text.lower().splitlines()
+    ]
+
+
 def plain_words(text: str) -> str:
-    """Lower-case words of a text, without code spans, links, identifiers, numbers and surplus space."""
-    return " ".join(_NOISE.sub(" ", text).lower().split())
+    """The words of all lines of a text as one line."""
+    return " ".join(" ".join(_plain_lines(text)).split())
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, str]]:
@@ -90,7 +102,7 @@ class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard as zs
 
-        options = zs.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=3, target_length=8, strategy=zs.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        options = zs.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=1, min_match=4, target_length=0, strategy=zs.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.languages = sorted(dictionaries)
         self.compress = []
         for k in self.languages:
@@ -136,7 +148,7 @@ class Classifier:
             chunk.clear()
 
         size = 0
-        for sentence in _SENTENCE.split(_NOISE.sub(" ", text).lower()):
+        for sentence in _SENTENCE.split("\n".join(_plain_lines(text))):
             words = " ".join(sentence.split())
             if not any(map(str.isalpha, words)):
                 continue
