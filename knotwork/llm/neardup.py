@@ -59,9 +59,9 @@ def sketch(grams: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.
     x = (grams >> np.uint64(32)).astype(np.uint32)
     best = np.full(k, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(x), 4096):  # long texts in blocks; every gram takes part
-        m = (x[None, i : i + 4096] ^ b) * a
-        m ^= m >> np.uint32(15)
-        best = np.minimum(best, (m * np.uint32(0x2C1B3C6D)).min(axis=1))
+        m = x[None, i : i + 4096] ^ b
+        m *= a
+        np.minimum(best, m.min(axis=1), out=best)
     sample = best.astype(np.uint64) << np.uint64(16) | np.arange(k, dtype=np.uint64)
     sample = (sample ^ (sample >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     sample ^= sample >> np.uint64(32)
