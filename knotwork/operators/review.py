@@ -39,6 +39,14 @@ def nodes_of_files(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return n.join(p, (n["_base"] == p["_base"]) & same_source(F.col("path"), F.col("source_uri")), "left_semi").select("id")
 
 
+def changed_ranges(nodes: DataFrame, hunks: DataFrame, most: int = 20) -> DataFrame:
+    """(path, new_start, symbols): the first ``most`` names of each hunk, the most specific and shortest first."""
+    j = nodes_of_hunks(nodes, hunks).join(nodes.select("id", "qualified_name"), "id")
+    order = Window.partitionBy("path", "new_start").orderBy(F.desc("specificity"), "span", "id")
+    ranked = j.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    return ranked.groupBy("path", "new_start").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "qualified_name"))), lambda x: x["qualified_name"]).alias("symbols"))
+
+
 def test_coverage(graph: PropertyGraph, changed: DataFrame) -> DataFrame:
     """(id, qualified_name, covered) of changed functions and methods that aren't tests."""
     t = graph.edges.where("kind = 'tested_by'").select(F.col("src").alias("id"), F.lit(True).alias("covered")).distinct()

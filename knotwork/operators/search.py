@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.functions.embedding import embed
 from knotwork.functions.names import compact, identifier_words, identifier_words_text, is_test_path, path_stem
 from knotwork.functions.similarity import fuzzy_column
 from knotwork.graph import PropertyGraph, is_placeholder
@@ -148,6 +149,11 @@ def related(vectors: DataFrame, key: str, column: str, target) -> DataFrame:
     return vector_search(vectors.where(F.col(key) != target), key, column, row[0], None).where("score > 0")
 
 
+def semantic_query(vectors: DataFrame, key: str, column: str, text: str, least: float | None = 0.20) -> DataFrame:
+    """``vector_search`` for a text, embedded as nodes are."""
+    return vector_search(vectors, key, column, [float(x) for x in embed(text)], least)
+
+
 # ---- fusion --------------------------------------------------------------------------------------
 
 

@@ -220,20 +220,75 @@ def _cut_points(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ids[np.array(cut, dtype=bool)]
 
 
-def articulation_points(graph: PropertyGraph) -> DataFrame:
+def _cut_points_at_any_size(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """(id) of the cut points of symmetric pairs (a, b) with member (a, component), by levels of a spanning tree.
+
+    The tree edges, each named by its child, fall into the blocks of the graph: a link between unrelated nodes
+    joins their edges, and a node's edge joins its parent's if its subtree has a link that leaves the parent's.
+    Preorder numbers and subtree sizes tell who is related, their least and greatest linked numbers who leaves.
+    A node is a cut point if its edge and its children's are in more than one block. Rounds: the tree's depth.
+    """
+    roots = member.where("a = component").select(F.col("a").alias("source"), F.col("a").alias("id"))
+    level = stage(reach(roots, pairs, 1_000_000, "cut-levels").select("id", "source", "depth"), "cut-levels")
+    up = pairs.join(level.select(F.col("id").alias("a"), F.col("depth").alias("da")), "a").join(level.select(F.col("id").alias("b"), F.col("depth").alias("db")), "b")
+    parent = up.where("da + 1 = db").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+    tree = stage(level.join(parent, "id", "left"), "cut-tree")
+    deepest = tree.agg(F.max("depth").alias("d")).collect()[0].d or 0  # one number
+    at = lambda df, d: df.where(F.col("depth") == d)
+
+    def upwards(own: DataFrame, how: dict) -> DataFrame:
+        """Own values (id, parent, depth, columns) combined with those of all descendants."""
+        done, below = None, None
+        for d in range(deepest, -1, -1):
+            here = at(own, d)
+            if below is not None:
+                sums = below.groupBy(F.col("parent").alias("id")).agg(*[f(c).alias(f"_{c}") for c, (f, _) in how.items()])
+                here = here.join(sums, "id", "left")
+                for c, (_, both) in how.items():
+                    here = here.withColumn(c, F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(both(F.col(c), F.col(f"_{c}"))))
+                here = here.select(*own.columns)
+            below = stage(here, "cut-up")
+            done = below if done is None else done.unionByName(below)
+        return done
+
+    sized = stage(upwards(tree.withColumn("nd", F.lit(1).cast("bigint")), {"nd": (F.sum, lambda x, y: x + y)}), "cut-sizes")
+    before = F.sum("nd").over(Window.partitionBy("parent").orderBy("id")) - F.col("nd")
+    placed = stage(sized.withColumn("shift", F.when(F.col("parent").isNull(), F.lit(0)).otherwise(before + 1)), "cut-shifts")
+    above = stage(at(placed, 0).select("id", F.lit(0).cast("bigint").alias("pre")), "cut-pre")
+    pre = above
+    for d in range(1, deepest + 1):
+        above = stage(at(placed, d).join(above.select(F.col("id").alias("parent"), F.col("pre").alias("p")), "parent").select("id", (F.col("p") + F.col("shift")).alias("pre")), "cut-pre")
+        pre = pre.unionByName(above)
+    t = stage(sized.join(pre, "id"), "cut-numbered")
+    side = lambda k: t.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("pre", "nd", "parent")])
+    other = stage(pairs.join(side("a"), "a").join(side("b"), "b").where("not (parent_a <=> b) and not (parent_b <=> a)"), "cut-others")
+    ends = other.groupBy(F.col("a").alias("id")).agg(F.min("pre_b").alias("l"), F.max("pre_b").alias("h"))
+    own = t.join(ends, "id", "left").select("id", "parent", "depth", F.least("pre", "l").alias("low"), F.greatest("pre", "h").alias("high"))
+    spans = upwards(own, {"low": (F.min, F.least), "high": (F.max, F.greatest)}).select("id", "low", "high")
+    t = stage(t.join(spans, "id"), "cut-spans")
+    apart = other.where("pre_a + nd_a <= pre_b").select("a", "b")
+    above = t.select(F.col("id").alias("parent"), F.col("pre").alias("p"), F.col("nd").alias("n"), F.col("parent").alias("grand"))
+    leaving = t.join(above, "parent").where("grand is not null and (low < p or high >= p + n)").select(F.col("id").alias("a"), F.col("parent").alias("b"))
+    joined = apart.unionByName(leaving)
+    both = joined.unionByName(joined.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    block = stage(least_labels(t.where("parent is not null"), both), "cut-blocks")
+    touches = block.join(t.select("id", "parent"), "id").select(F.explode(F.array("id", "parent")).alias("id"), "component")
+    return touches.groupBy("id").agg(F.countDistinct("component").alias("k")).where("k > 1").select("id")
+
+
+def articulation_points(graph: PropertyGraph, small: int = SMALL_LINKS) -> DataFrame:
     """(id) of the nodes whose removal splits their component, ignoring directions.
 
     Nodes of one neighbour are peeled off first, again and again: a leaf is no cut point, its neighbour is one
-    exactly if it has another neighbour. The cores that remain go through an exact low-point search, one
-    task a component (its edges as two integer columns, 16 bytes an edge).
+    exactly if it has another neighbour. What remains of a component goes through an exact low-point search in
+    one task if it has at most ``small`` links, and otherwise through the same search by levels of a tree.
     """
     pairs = stage(graph.undirected(), "cut-links")
-    member = least_labels(graph.nodes, pairs).select(F.col("id").alias("a"), "component")
+    member = stage(least_labels(graph.nodes, pairs).select(F.col("id").alias("a"), "component"), "cut-parts")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": _cut_points(pdf["a"].to_numpy(), pdf["b"].to_numpy())}, dtype="int64")
 
-    # a component's tree-like fringe: peel leaves for a few rounds, noting the neighbours they hang on
     cuts, rest = None, pairs
     for _ in range(3):
         degree = rest.groupBy("a").agg(F.count("*").alias("d"))
@@ -244,7 +299,14 @@ def articulation_points(graph: PropertyGraph) -> DataFrame:
         new = stage(new, "cut-found")
         cuts = new if cuts is None else cuts.unionByName(new)
         rest = stage(rest.join(leaves, "a", "left_anti").join(leaves.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"), "cut-links")
-    found = rest.join(member, "a").groupBy("component").applyInPandas(run, "id bigint")
+    parts = rest.join(member, "a")
+    large = stage(parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > small).select("component"), "cut-large")
+    found = parts.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, "id bigint")
+    if not large.isEmpty():
+        big = stage(parts.join(large, "component", "left_semi").select("a", "b"), "cut-big")
+        # peeling may have taken a component's least node, so the rest is named anew
+        ids = big.select(F.col("a").alias("id")).distinct()
+        found = found.unionByName(_cut_points_at_any_size(big, least_labels(ids, big).select(F.col("id").alias("a"), "component")))
     return cuts.unionByName(found).distinct()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knotwork.functions.names import DOC_LANGUAGES, language_sql
+from knotwork.functions.names import DOC_LANGUAGES, identifier_words_sql, language_sql
 from knotwork.graph import EDGE_COLUMNS, NODE_COLUMNS, PropertyGraph, graph_sql
 from knotwork.operators import communities as comm
 from knotwork.operators import enrich, flows, refactor, review, temporal
@@ -215,6 +215,51 @@ def _diff(what: str, table: str, key: str) -> str:
     return f"SELECT '{what}' AS what, {key} AS key, 'added' AS change FROM (SELECT * FROM {h} EXCEPT SELECT * FROM {b}) UNION ALL SELECT '{what}', {key}, 'removed' FROM (SELECT * FROM {b} EXCEPT SELECT * FROM {h})"
 
 
+_GP = graph_sql((*NODE_COLUMNS, "properties"))
+_GC = graph_sql((*NODE_COLUMNS, "source_text"), (*EDGE_COLUMNS, "call_scope", "call_receiver"))
+_MENTIONABLE = ", ".join(f"'{k}'" for k in enrich.MENTIONABLE)
+_CALLABLE = ", ".join(f"'{k}'" for k in enrich.CALLABLE)
+
+
+def _snake(column: str) -> str:
+    return f"replace({identifier_words_sql(column)}, ' ', '_')"
+
+
+def _impl(column: str) -> str:
+    part = f"list_extract(string_split({column}, '::'), -2)"
+    return f"(CASE WHEN NOT regexp_matches({part}, '[/.]') THEN {part} END)"
+
+
+def _let(tail: str) -> str:
+    return f"nullif(regexp_extract(ft, '(?:let|const|var)\\s+(?:mut\\s+)?' || v || '{tail}', 1), '')"
+
+
+_NAMED = "CASE lower(r) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in enrich.NAMED_TYPES.items()) + " END"
+_TIERS = {
+    "unique": "true",
+    "same_file": "ff = tf",
+    "scope": "scoped",
+    "scope_prefix": "scoped AND common = best_common AND common > 0",
+    "receiver": f"{_impl('tq')} = rt",
+    "import": "imported",
+    "same_dir": "regexp_extract(ff, '^(.*)/[^/]*$', 1) = regexp_extract(tf, '^(.*)/[^/]*$', 1)",
+    "frequency": "heat = best_heat AND heat > 0",
+}
+_CALL_TIERS = f"""
+o AS (SELECT e.edge_id, e.call_scope AS sc, e.call_receiver AS r, regexp_replace(e.call_receiver, '\\W', '', 'g') AS v, substr(d.qualified_name, 7) AS callee, s.qualified_name AS fq, s.source_uri AS ff, s.source_text AS ft
+  FROM e JOIN n d ON d.id = e.dst JOIN n s ON s.id = e.src WHERE e.kind = 'calls' AND d.qualified_name LIKE 'call::%'),
+t AS (SELECT id, name, qualified_name AS tq, source_uri AS tf, lower(regexp_replace(regexp_extract(source_uri, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')) AS stem FROM n WHERE kind IN ({_CALLABLE}) AND qualified_name NOT LIKE 'call::%'),
+im AS (SELECT DISTINCT file, stem FROM (SELECT s.source_uri AS file, unnest(string_split_regex(lower(d.qualified_name), '[^a-z0-9_]+')) AS stem FROM e JOIN n s ON s.id = src JOIN n d ON d.id = dst WHERE e.kind = 'imports') WHERE file IS NOT NULL AND stem <> ''),
+ht AS (SELECT dst, count(*) AS heat FROM e WHERE kind = 'calls' GROUP BY 1),
+j AS (SELECT o.*, t.*, ht.heat, im.stem IS NOT NULL AS imported, coalesce(sc IS NOT NULL AND contains(tq, sc), false) AS scoped,
+  CASE WHEN r = 'self' THEN {_impl('fq')} ELSE coalesce({_let(r'\s*:\s*&?(?:mut\s+)?([A-Z]\w*)')}, {_let(r'\s*=\s*(?:new\s+)?([A-Z]\w*)::')}, {_let(r'\s*=\s*(?:new\s+)?([A-Z]\w*)\s*[({{]')}, {_NAMED}) END AS rt
+  FROM o JOIN t ON t.name = o.callee LEFT JOIN im ON im.file = ff AND im.stem = t.stem LEFT JOIN ht ON ht.dst = t.id),
+k AS (SELECT *, CASE WHEN scoped THEN len(list_filter(range(1, len(string_split(tq, '::')) + 1), lambda i: list_slice(string_split(tq, '::'), 1, i) = list_slice(string_split(fq, '::'), 1, i))) END AS common FROM j),
+b AS (SELECT *, max(common) OVER (PARTITION BY edge_id) AS best_common, max(heat) OVER (PARTITION BY edge_id) AS best_heat FROM k),
+h AS (SELECT edge_id, id, {", ".join(f"coalesce({c}, false) AS h{i}" for i, c in enumerate(_TIERS.values()))} FROM b),
+w AS ({" UNION ALL ".join(f"SELECT edge_id, {i} AS tier, '{tag}' AS tag, any_value(id) FILTER (h{i}) AS candidate FROM h GROUP BY 1 HAVING count(*) FILTER (h{i}) = 1" for i, tag in enumerate(_TIERS))})
+SELECT edge_id, arg_min(candidate, tier) AS candidate, arg_min(tag, tier) AS resolved_from FROM w GROUP BY 1"""
+
 _WEIGHT = f"CASE WHEN conf_class = 'ambiguous' THEN {AMBIGUOUS_COMMUNITY_WEIGHT} ELSE {sql_case('kind', EDGE_WEIGHTS, COMMUNITY, 1)} END"
 _DOCS = ", ".join(f"'{x}'" for x in DOC_LANGUAGES)
 
@@ -260,6 +305,13 @@ ORACLES = {
     "tested_by": f"""WITH {G} SELECT DISTINCT d.id AS src, s.id AS dst FROM e JOIN n s ON s.id = src JOIN n d ON d.id = dst WHERE e.kind = 'calls' AND coalesce(s.is_test, false) AND NOT coalesce(d.is_test, false) AND d.qualified_name NOT LIKE 'call::%'
         AND NOT EXISTS (SELECT 1 FROM e t WHERE t.kind = 'tested_by' AND t.src = d.id AND t.dst = s.id)""",
     "test_coverage": f"WITH {G} SELECT qualified_name, id IN (SELECT src FROM e WHERE kind = 'tested_by') AS covered FROM n WHERE kind IN ('function', 'method') AND NOT coalesce(is_test, false)",
+    "call_tiers": f"WITH {_GC}, {_CALL_TIERS}",
+    "mentions_resolve": f"""WITH {_GP}, p AS (SELECT id, unnest(CAST(json_extract(properties, '$.pending_mentions') AS JSON[])) AS m FROM n WHERE json_valid(properties)),
+        q AS (SELECT id AS section_id, m ->> 0 AS token, TRY_CAST(m ->> 1 AS DOUBLE) AS confidence FROM p WHERE m ->> 0 IS NOT NULL),
+        ks AS (SELECT id, unnest(['n:' || name, 'n:' || list_extract(string_split(qualified_name, '::'), -1), 's:' || {_snake('name')}]) AS key FROM n WHERE kind IN ({_MENTIONABLE})),
+        f AS (SELECT key, min(id) AS node_id FROM ks WHERE key IS NOT NULL GROUP BY 1),
+        hit AS (SELECT section_id, token, min(node_id) AS node_id, max(confidence) AS confidence FROM (SELECT *, unnest(['n:' || token, 's:' || {_snake('token')}]) AS key FROM q) JOIN f USING (key) GROUP BY 1, 2)
+        SELECT section_id, node_id, round(max(confidence), 6) AS confidence FROM hit WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = section_id AND dst = node_id) GROUP BY 1, 2""",
     "active_at": f"WITH {_GV} SELECT qualified_name, kind FROM {_active('n', 'n.*', HEAD)}",
     "temporal_diff": f"WITH {_GT} {_diff('node', 'n', 'id')} UNION ALL {_diff('edge', 'e', 'edge_id')}",
     "hunk_to_nodes": f"""WITH {G}, h AS (SELECT DISTINCT source_uri AS path, line_start AS s, line_start + 4 AS z FROM n WHERE kind = 'class' AND source_uri IS NOT NULL AND line_start IS NOT NULL),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from knotwork.graph import PropertyGraph
 from knotwork.operators import enrich
+from knotwork.operators.communities import detect
+from knotwork.operators.dedup import deduplicate
 from knotwork.session import stage
 from knotwork.sources import code, markup
 from knotwork.sources.registry import IgnoreRules, is_relevant, language_of_path, load_registry
@@ -73,8 +75,11 @@ def assemble(rows: DataFrame) -> PropertyGraph:
     return PropertyGraph(nodes.withColumn("valid_from", none).withColumn("valid_to", none), edges.withColumn("valid_from", none).withColumn("valid_to", none)).with_both_ends()
 
 
-def build(files: DataFrame, commit: str | None = None, overlay: str | None = None) -> PropertyGraph:
-    """Extract, resolve calls, link mentions, derive tested_by and stamp the birth commit."""
+def build(files: DataFrame, commit: str | None = None, overlay: str | None = None, merge_labels: bool = False) -> PropertyGraph:
+    """Extract, resolve calls, link mentions, derive tested_by and stamp the birth commit.
+
+    With ``merge_labels`` nearly equal labels are merged, those of one Leiden community more readily.
+    """
     g = enrich.apply_resolution(assemble(extract_rows(files, overlay)))
     types = dict(g.edges.dtypes)
     ident = lambda kind: F.xxhash64("src", "dst", F.lit(kind)).bitwiseAND(F.lit(2**63 - 1))
@@ -83,6 +88,8 @@ def build(files: DataFrame, commit: str | None = None, overlay: str | None = Non
     mentions = enrich.resolve_mentions(enrich.pending_mentions(g.nodes), g).select(F.col("section_id").alias("src"), F.col("node_id").alias("dst"), F.col("confidence").alias("score"))
     g = PropertyGraph(g.nodes, g.edges.unionByName(shaped(mentions, known("mentions", "inferred", F.col("score")))))
     g = PropertyGraph(g.nodes, g.edges.unionByName(shaped(enrich.tested_by(g), known("tested_by", "extracted", F.lit(1.0)))))
+    if merge_labels:
+        g, _ = deduplicate(g, detect(g))
     if commit:
         g = PropertyGraph(enrich.stamp_birth(g.nodes, commit), enrich.stamp_birth(g.edges, commit, key="edge_id"))
     return g

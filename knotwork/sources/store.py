@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions.embedding import embed_nodes
 from knotwork.graph import PropertyGraph
+from knotwork.operators.search import bm25, build_index
 from knotwork.operators.temporal import with_archive
 
-TABLES = ("nodes", "edges", "node_archive", "edge_archive", "file_state", "embeddings")
+TABLES = ("nodes", "edges", "node_archive", "edge_archive", "file_state", "embeddings", "postings", "lengths")
 
 
 class Store:
@@ -109,6 +111,20 @@ class Store:
         change = F.when(F.col("old").isNull(), "added").when(F.col("hash").isNull(), "deleted").when(F.col("old") != F.col("hash"), "changed")
         return j.select("path", change.alias("change")).where("change is not null")
 
+    def rebuild_embeddings(self, model: str = "hash-384") -> None:
+        """Embed all active nodes but placeholders anew."""
+        self.write("embeddings", embed_nodes(self.read("nodes"), model))
+
+    def rebuild_index(self) -> None:
+        """The text index over kind, name and qualified name anew."""
+        n = self.read("nodes")
+        postings, lengths = build_index(n, "id", F.concat_ws(" ", "kind", "name", "qualified_name"))
+        self.write("postings", postings)
+        self.write("lengths", lengths)
+
+    def search_text(self, query: str) -> DataFrame:
+        return bm25(self.read("postings"), self.read("lengths"), "id", query)
+
     def stats(self) -> dict[str, int]:
         return {t: self.read(t).count() for t in TABLES if self.exists(t)}
 

@@ -130,6 +130,7 @@ def test_hunks_risk_and_snippets(spark):
     g = make(spark, [(1, "file", "a", {"source_uri": "src/a.rs", "line_end": 100}), (2, "function", "f", {"source_uri": "src/a.rs", "line_start": 10, "line_end": 20}), (3, "function", "g", {"source_uri": "lib/src/a.rs", "line_start": 12, "line_end": 13})], [(3, 2, "calls")])
     h = spark.createDataFrame([("src/a.rs", 12, 1), ("src/a.rs", 50, 0)], "path string, new_start int, new_count int")
     assert {(r.new_start, r.id) for r in review.nodes_of_hunks(g.nodes, h).collect()} == {(12, 2), (12, 3), (50, 1)}
+    assert {(r.new_start, tuple(r.symbols)) for r in review.changed_ranges(g.nodes, h).collect()} == {(12, ("m::g", "m::f")), (50, ("m::a",))}
     out = review.review(g, g.nodes.where("id = 2").select("id"))
     assert {r.id for r in out["impacted"].collect()} == {3} and out["risk"].first().missing == 1
     files = spark.createDataFrame([("p", "\n".join(f"l{i}" for i in range(1, 41)))], "path string, text string")
@@ -159,6 +160,8 @@ def test_search(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, [1.0]), (5, [0.0, 0.0])], "id bigint, vector array<double>")
     assert {(r.id, round(r.score, 3)) for r in search.vector_search(v, "id", "vector", [1.0, 0.0]).collect()} == {(1, 1.0), (2, 0.707)}
     assert {r.id for r in search.related(v, "id", "vector", 1).collect()} == {2} and search.related(v, "id", "vector", 99).count() == 0
+    e = embedding.embed_nodes(g.nodes)
+    assert search.semantic_query(e, "node_id", "vector", "function load graph m").orderBy(F.desc("score")).first().node_id == 1
     fused = search.hybrid_search(g, "load_graph", 3, index, v, [1.0, 0.0]).collect()
     assert fused[0].qualified_name == "m::load_graph" and len(fused) == 3
     assert search.resolve_symbol(g, "m::unrelated") == 5 and search.resolve_symbol(g, "GraphLoader") == 3

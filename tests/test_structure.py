@@ -61,6 +61,8 @@ def test_components_cores_and_cut_points(spark, seed):
     base = len(pieces(nodes, adj))
     cut = {x for x in nodes if adj[x] and len(pieces(nodes, adj, x)) > base}
     assert {r.id for r in structure.articulation_points(g).collect()} == cut
+    if seed == 1:
+        assert {r.id for r in structure.articulation_points(g, small=0).collect()} == cut
     core, left, k = {}, {x: set(adj[x]) for x in nodes}, 0
     while left:
         x = min(left, key=lambda v: len(left[v]))
