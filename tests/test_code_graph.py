@@ -222,3 +222,11 @@ def test_operations(spark):
     assert ops.run(c, "k_core").count() == 4
     with pytest.raises(ValueError):
         ops.run(c, "nonsense")
+
+
+def test_command_line(spark, folder, capsys):
+    from knotwork.__main__ import main
+
+    assert main(["hub_nodes", "--folder", folder, "--params", '{"response_limit": 2}']) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert len(out["rows"]) == 2 and out["rows"][0]["degree"] >= out["rows"][1]["degree"]
