@@ -22,7 +22,7 @@ from knotwork.llm.batches import list_array, text_batches
 from knotwork.session import stage
 
 GRAM = 5
-BANDS, ROWS = 48, 4  # a pair of similarity 0.6 shares a band with probability 0.9987, one of 0.2 with 0.07
+BANDS, ROWS = 80, 5  # a pair of similarity 0.6 shares a band with probability 0.9985, one of 0.2 with 0.025, of 0.1 with 0.0008
 WORDS = 8  # 64-bit words of an odd sketch
 SLACK = 0.2  # more than three standard deviations of the estimate at a similarity of 0.6
 
