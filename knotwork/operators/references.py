@@ -54,7 +54,7 @@ def classify_references(
         "edge_id", "ingested_at", "at", "p.side", "p.key").where("key is not null")
     counted = edges.select(F.explode(pairs).alias("p")).select("p.side", "p.key").where("key is not null")
     n = counted.groupBy("key").agg(F.count("*").alias("n"))
-    least = counted.select((F.count(F.lit(1)) * F.lit(heavy_fraction)).alias("x")).scalar()
+    least = n.agg((F.sum("n") * F.lit(heavy_fraction)).alias("x")).scalar()
     heavy = n.where(F.col("n") >= least).select("key", F.lit(True).alias("heavy"))
     refs = refs.join(F.broadcast(heavy), "key", "left").withColumn(
         "salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("edge_id"), F.lit(salts)).cast("int")).otherwise(0)).drop("heavy")
