@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from knotwork.graph import PropertyGraph
 from knotwork.operators import centrality, communities, flows, motifs, refactor, review, search, structure, temporal, traverse
+from knotwork.session import stage
 from knotwork.sources import sinks
 
 ALIASES = {
@@ -42,7 +43,7 @@ class Session:
 
 @dataclass
 class Context:
-    """A graph with its side tables; derived frames are made once, when asked for."""
+    """A graph with its side tables; derived frames are made and stored once, when asked for."""
 
     graph: PropertyGraph
     commits: DataFrame | None = None
@@ -60,15 +61,15 @@ class Context:
 
     @property
     def communities(self) -> DataFrame:
-        return self.once("communities", lambda: communities.detect(self.graph, self.algorithm))
+        return self.once("communities", lambda: stage(communities.detect(self.graph, self.algorithm), "communities"))
 
     @property
     def members(self) -> DataFrame:
-        return self.once("members", lambda: flows.trace(self.graph))
+        return self.once("members", lambda: stage(flows.trace(self.graph), "members"))
 
     @property
     def flows(self) -> DataFrame:
-        return self.once("flows", lambda: flows.flows(self.graph, self.members))
+        return self.once("flows", lambda: stage(flows.flows(self.graph, self.members), "flows"))
 
     def seed(self, target: str) -> DataFrame:
         return self.graph.nodes.where(F.col("id") == search.resolve_symbol(self.graph, target)).select("id")
