@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from knotwork.session import stage
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], DataFrame], rounds: int, label: str) -> DataFrame:
-    """Apply ``step`` until ``changed(old, new)`` has no rows, at most ``rounds`` times; each round is stored."""
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], DataFrame], label: str) -> DataFrame:
+    """Apply ``step`` until ``changed(old, new)`` has no rows, however many rounds that takes; each round is stored.
+
+    The step must settle: each caller's values only fall, or its rows only grow.
+    """
     current = stage(start, label)
-    for _ in range(rounds):
+    while True:
         following = stage(step(current), label)
         if changed(current, following).isEmpty():
             return following
         current = following
-    return current
 
 
 def repeat(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, label: str, every: int = 5) -> DataFrame:

@@ -28,14 +28,14 @@ def call_resolution(graph: PropertyGraph) -> DataFrame:
     return c.withColumn("rate", F.when(total == 0, 1.0).otherwise(F.col("resolved") / F.when(total > 0, total)))
 
 
-def least_labels(ids: DataFrame, pairs: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
+def least_labels(ids: DataFrame, pairs: DataFrame, label: str = "components") -> DataFrame:
     """(id, component): the least id of each connected component of symmetric pairs (a, b).
 
     Large-star and small-star rounds in turn: stars shrink components in about log(n) rounds, whatever their
-    diameter, and no round gathers a component in one task.
+    diameter, and no round gathers a component in one task. They end when nothing changes.
     """
     edges = stage(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -105,13 +105,14 @@ def _strong(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, ids[np.array(label, dtype=np.int64)] if n else ids
 
 
-def strong_components(graph: PropertyGraph, rounds: int = 100, small: int = SMALL_LINKS) -> DataFrame:
+def strong_components(graph: PropertyGraph, small: int = SMALL_LINKS) -> DataFrame:
     """(id, component): strongly connected components, named by their least id.
 
     Trimming drops nodes without in- or out-edges, which are components of their own. In each round the nodes
     left take the least id that reaches them (forward colouring); those of a colour that reach its root
-    backwards are its component. They go, and the rest is coloured anew. Once at most ``small`` links are
-    left, one task finishes them.
+    backwards are its component. They go, and the rest is coloured anew, along the reversed links every other
+    round: a chain of components in the ids' order, of which one direction frees only the first, falls apart in
+    the other. Once at most ``small`` links are left, one task finishes them. Nothing ends before it has settled.
     """
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +121,7 @@ def strong_components(graph: PropertyGraph, rounds: int = 100, small: int = SMAL
 
     left = stage(links(graph).where("a <> b"), "scc")
     done = None
-    for _ in range(rounds):
+    while True:
         for _ in range(3):
             trimmed = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
             left = stage(trimmed, "scc")
@@ -136,13 +137,18 @@ def strong_components(graph: PropertyGraph, rounds: int = 100, small: int = SMAL
             got = left.join(c, left["a"] == c["id"]).select(F.col("b").alias("id"), "colour")
             return c.unionByName(got).groupBy("id").agg(F.min("colour").alias("colour"))
 
-        colours = fixpoint(nodes.select("id", F.col("id").alias("colour")), spread, lambda a, b: b.exceptAll(a), 1000, "scc-colour")
+        colours = fixpoint(nodes.select("id", F.col("id").alias("colour")), spread, lambda a, b: b.exceptAll(a), "scc-colour")
         inner = left.join(colours.select(F.col("id").alias("a"), F.col("colour").alias("ca")), "a").join(colours.select(F.col("id").alias("b"), F.col("colour").alias("cb")), "b").where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b"))
-        roots = colours.where("id = colour").select(F.col("id").alias("source"), "id")
-        found = stage(reach(roots, inner, 1000, "scc-back").select("id", F.col("source").alias("component")), "scc-found")
+        inner = stage(inner, "scc-inner")
+
+        def back(c: DataFrame, inner: DataFrame = inner) -> DataFrame:
+            return c.unionByName(inner.join(c, inner["a"] == c["id"]).select(F.col("b").alias("id"), "component")).distinct()
+
+        roots = colours.where("id = colour").select("id", F.col("id").alias("component"))
+        found = fixpoint(roots, back, lambda a, b: b.exceptAll(a), "scc-back")
         done = found if done is None else done.unionByName(found)
         gone = found.select("id")
-        left = stage(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"), "scc")
+        left = stage(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select(F.col("b").alias("a"), F.col("a").alias("b")), "scc")
     ids = graph.nodes.select("id")
     if done is None:
         return ids.select("id", F.col("id").alias("component"))
@@ -158,14 +164,47 @@ def cycles(graph: PropertyGraph) -> DataFrame:
     return sizes.where("size > 1").unionByName(alone)
 
 
-def core_numbers(graph: PropertyGraph, rounds: int = 200) -> DataFrame:
+def _cores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, core number) of a simple graph given as symmetric pairs: nodes of the least degree left go first."""
+    ids, inverse = np.unique(np.concatenate((a, b)), return_inverse=True)
+    head, tail = inverse[: len(a)], inverse[len(a) :]
+    order = np.argsort(head, kind="stable")
+    tail = tail[order].tolist()
+    start = np.searchsorted(head[order], np.arange(len(ids) + 1)).tolist()
+    degree = np.diff(start).tolist()
+    core, waiting = [-1] * len(ids), [[] for _ in range(max(degree, default=0) + 1)]
+    for v, d in enumerate(degree):
+        waiting[d].append(v)
+    for k, bucket in enumerate(waiting):
+        while bucket:
+            v = bucket.pop()
+            if core[v] >= 0:
+                continue
+            core[v] = k
+            for w in tail[start[v] : start[v + 1]]:
+                if core[w] < 0 and degree[w] > k:
+                    degree[w] -= 1
+                    waiting[degree[w]].append(w)
+    return ids, np.array(core, dtype=np.int64)
+
+
+def core_numbers(graph: PropertyGraph, small: int = SMALL_LINKS) -> DataFrame:
     """(id, core) of the undirected simple graph: repeated h-index of the neighbours' values.
 
     Starting from the degrees, each node takes the largest h such that h neighbours have at least h; this
-    falls to the core number everywhere. The h-index comes from counts per value, so a hub's neighbours
-    are never gathered in a list.
+    falls to the core number everywhere, and the rounds go on until no value falls. The h-index comes from
+    counts per value, so a hub's neighbours are never gathered in a list. At most ``small`` pairs are one
+    task's peeling instead, as a long path takes half as many rounds as it has nodes.
     """
     pairs = stage(graph.undirected(), "core-links")
+
+    def peel(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, core = _cores(pdf["a"].to_numpy(), pdf["b"].to_numpy())
+        return pd.DataFrame({"id": ids, "core": core}, dtype="int64")
+
+    if pairs.count() <= small:
+        settled = pairs.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(peel, "id bigint, core bigint")
+        return graph.nodes.select("id").join(settled, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("bigint").alias("core"))
     degree = pairs.groupBy("a").agg(F.count("*").alias("core")).withColumnRenamed("a", "id")
 
     def step(c: DataFrame) -> DataFrame:
@@ -176,7 +215,7 @@ def core_numbers(graph: PropertyGraph, rounds: int = 200) -> DataFrame:
         # between two values v the count of neighbours at or above stays, so h is the best of min(v, cum)
         return at_least.groupBy("a").agg(F.max(F.least("v", "cum")).alias("core")).withColumnRenamed("a", "id")
 
-    settled = fixpoint(degree, step, lambda a, b: b.exceptAll(a), rounds, "core")
+    settled = fixpoint(degree, step, lambda a, b: b.exceptAll(a), "core")
     return graph.nodes.select("id").join(settled, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("bigint").alias("core"))
 
 

@@ -82,6 +82,21 @@ def test_strong_components(spark, small):
     assert {r.id: r.component for r in structure.strong_components(g, small=small).collect()} == want
 
 
+def test_cores_of_a_long_path_and_by_rounds(spark):
+    path = make(spark, [(i, "function", f"x{i}") for i in range(500)], [(i, i + 1, "calls") for i in range(499)])
+    assert {r.core for r in structure.core_numbers(path).collect()} == {1}  # 250 rounds of h-indexes
+    g, _ = random_graph(spark, 5, 40, 80)
+    assert {tuple(r) for r in structure.core_numbers(g, small=0).collect()} == {tuple(r) for r in structure.core_numbers(g).collect()}
+
+
+def test_strong_components_of_a_long_chain(spark):
+    """Each of 110 pairs calls all later ones, so that colouring along the links frees only the first."""
+    n = 110
+    links = [(2 * i + x, 2 * i + 1 - x, "calls") for i in range(n) for x in (0, 1)] + [(2 * i, 2 * j, "calls") for i in range(n) for j in range(i + 1, n)]
+    g = make(spark, [(i, "function", f"x{i}") for i in range(2 * n)], links)
+    assert {r.id: r.component for r in structure.strong_components(g, small=0).collect()} == {i: i // 2 * 2 for i in range(2 * n)}
+
+
 @pytest.mark.parametrize("small", [0, 100_000])
 def test_betweenness(spark, small):
     g, pairs = random_graph(spark, 4, 25, 50)
