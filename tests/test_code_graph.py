@@ -25,6 +25,30 @@ def test_two_triangles(spark, algorithm, small):
     assert c[0] == c[1] == c[2] and c[3] == c[4] == c[5] and c[0] != c[3] and c[6] == 6
 
 
+def ring_of_cliques(spark, n=30, k=5):
+    """Modularity joins neighbouring cliques here; the map equation and a Potts objective of this resolution don't."""
+    links = [(c * k + i, c * k + j, "calls") for c in range(n) for i in range(k) for j in range(i + 1, k)] + [(c * k, (c + 1) % n * k + 1, "calls") for c in range(n)]
+    return make(spark, [(i, "function", f"x{i}") for i in range(n * k)], links), {i: i // k * k for i in range(n * k)}
+
+
+def test_components_above_the_bound_keep_their_algorithm(spark):
+    g, cliques = ring_of_cliques(spark)
+    assert labels(comm.detect(g, "infomap", comm.Options(small=0))) == cliques
+    w = comm.weighted_links(g).first().w
+    assert labels(comm.detect(g, "leiden", comm.Options(small=0, objective="cpm", resolution=0.1 * w))) == cliques
+    assert labels(comm.detect(g, "louvain", comm.Options(small=0))) != cliques
+    assert labels(comm.detect(g, "louvain", comm.Options(small=0, passes=0))) == {i: i for i in cliques}
+
+
+def test_refinement_above_the_bound(spark):
+    g, cliques = ring_of_cliques(spark, 6)
+    links = comm.weighted_links(g).withColumn("w", F.lit(1.0))
+    nodes = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"), F.sum("w").alias("out")).withColumn("n", F.lit(1.0))
+    group = g.nodes.select("id", (F.col("id") - F.col("id") % 15).alias("community"))  # three cliques each
+    parts = labels(comm._refined(links, nodes, group, links.count(), comm.Options()))
+    assert all(cliques[i] == cliques[c] for i, c in parts.items()) and 6 <= len(set(parts.values())) < 15
+
+
 @pytest.mark.parametrize(("algorithm", "small"), [("louvain", 100_000), ("leiden", 100_000), ("louvain", 0)])
 def test_communities_are_connected_and_beat_components(spark, algorithm, small):
     g, _ = random_graph(spark, 9, 40, 60)
