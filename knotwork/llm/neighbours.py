@@ -23,6 +23,7 @@ from knotwork.session import stage
 
 SAMPLE = 4_096  # vectors that the rotation is learned on
 TABLES = 6
+FEW = 512  # vectors that are simply all compared
 BLOCK = 8_192  # vectors of a bucket that one task holds against another such block
 
 
@@ -63,8 +64,9 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 30) -> tuple[np.
 
 
 def substring_bits(n: int) -> int:
-    """Bits of a substring: 11 up to about half a million vectors, then one more per doubling."""
-    return max(11, math.ceil(math.log2(max(2, n))) - 8)
+    """Bits of a substring: 11 from 8,193 to about half a million vectors, one more per doubling above, one less per halving below."""
+    doublings = math.ceil(math.log2(max(2, n)))
+    return max(1, min(11, doublings - 3), doublings - 8)
 
 
 def _best(scores: np.ndarray, a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,13 +113,29 @@ def _rerank(k: int):
     return run
 
 
+def _against_all(short: DataFrame, m: int, classes: DataFrame, n: int, k: int) -> DataFrame:
+    """(a, b, cosine): the k best of all ``n`` classes for each of the ``m`` short ones; each pair of blocks is a task's work."""
+    rows, cols = math.ceil(m / BLOCK), math.ceil(n / BLOCK)
+    at = lambda blocks: F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("bigint")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    ask = short.select(at(rows).alias("i"), each(cols), "class_id", F.lit(1).alias("role"), "vector").withColumn("bucket", F.col("i") * cols + F.col("o"))
+    answer = classes.select(at(cols).alias("i"), each(rows), "class_id", F.lit(2).alias("role"), "vector").withColumn("bucket", F.col("o") * cols + F.col("i"))
+    met = ask.unionByName(answer).select("bucket", "class_id", "role", "vector")
+    found = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rerank(k), "a bigint, b bigint, cosine double")
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+
+
 def nearest_classes(classes: DataFrame, n: int, k: int = 5, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
     """(a, b, cosine): for each class the k best others that share a bucket of one of the indexes.
 
+    A class that meets fewer than k others there is held against all classes, as all of at most FEW are.
     classes is a stored table (class_id, vector) of ``n`` rows. Buckets above BLOCK are cut into blocks by a
     hash of the id, and each pair of blocks is a task's work of its own, so that nothing is left out.
     """
     spark = classes.sparkSession
+    if 0 < n <= FEW:
+        return _against_all(classes, n, classes, n, k)
     bits = substring_bits(n)
     picked = classes.orderBy(F.xxhash64("class_id"), "class_id").limit(sample).select("vector").toArrow()  # bounded by ``sample``
     if not picked.num_rows:
@@ -150,7 +168,11 @@ def nearest_classes(classes: DataFrame, n: int, k: int = 5, tables: int = TABLES
     met = visited.join(classes, "class_id").select("bucket", "class_id", "role", "vector")
     found = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rerank(k), "a bigint, b bigint, cosine double")
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    near = stage(found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), "near")
+    full = near.groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n - 1))
+    short = stage(classes.join(full, "class_id", "left_anti"), "near-short")
+    m = short.count()
+    return near if not m else near.join(full.select(F.col("class_id").alias("a")), "a", "left_semi").unionByName(_against_all(short, m, classes, n, k))
 
 
 def nearest_nodes(vectors: DataFrame, k: int = 5, size: int = 384, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:

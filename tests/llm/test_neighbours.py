@@ -38,6 +38,20 @@ def test_recall(spark, monkeypatch, block):
     assert len(got & want) / len(want) >= 0.95
 
 
+@pytest.mark.parametrize(("bits", "block"), [(None, nb.BLOCK), (11, 20)])
+def test_few_vectors_far_apart(spark, monkeypatch, bits, block):
+    """Hardly two share a bucket of 11 bits; every list is whole all the same."""
+    monkeypatch.setattr(nb, "BLOCK", block)
+    if bits:
+        monkeypatch.setattr(nb, "FEW", 0)
+        monkeypatch.setattr(nb, "substring_bits", lambda n: bits)
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.standard_normal(384).astype(np.float32) for i in range(63)}
+    rows = nb.nearest_nodes(frame(spark, vectors)).collect()
+    want = brute(vectors)
+    assert len(rows) == 63 * 5 and len({(r.node_id, r.neighbour) for r in rows} & want) / len(want) >= 0.9
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     vectors = clustered(60, 1)
     one = [float(y) for y in vectors[0]]
