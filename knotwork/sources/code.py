@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from knotwork.functions.names import TEST_NAME, TEST_PATH
 from knotwork.sources.registry import Language
 
-MAX_TEXT = 10_240
 #: Names of builtins and control words whose calls say nothing about a project.
 SUPPRESSED = frozenset(
     "if for while switch match return catch print println printf format len str int float bool list dict set tuple range enumerate zip map filter any all sum min max abs sorted open isinstance super getattr setattr hasattr type repr vec some none ok err box rc arc string assert assert_eq assert_ne panic unwrap expect clone into from to_string iter collect push pop insert get require console log sizeof malloc free".split())
@@ -35,8 +34,6 @@ class Rows:
 
     def node(self, kind, name, qualified, start=None, end=None, test=False, keep_text=True, path=True):
         text = "\n".join(self.lines[start - 1 : end]) if keep_text and start else None
-        if text is not None:
-            text = text.encode()[:MAX_TEXT].decode(errors="ignore")
         self.nodes.append({"kind": kind, "name": name, "qualified_name": qualified, "source_uri": self.path if path else None, "line_start": start, "line_end": end,
                            "is_test": bool(kind in ("function", "method", "class") and (test or self.test_path or _TEST_NAME.search(name))), "properties": None, "source_text": text})
 
@@ -214,7 +211,7 @@ def extract_braces(path: str, text: str, language: str) -> tuple[list[dict], lis
 def _close(rows: Rows, index: int, end: int) -> None:
     n = rows.nodes[index]
     n["line_end"] = end
-    n["source_text"] = "\n".join(rows.lines[n["line_start"] - 1 : end]).encode()[:MAX_TEXT].decode(errors="ignore")
+    n["source_text"] = "\n".join(rows.lines[n["line_start"] - 1 : end])
 
 
 def extract_lines(path: str, text: str, language: Language) -> tuple[list[dict], list[dict]]:

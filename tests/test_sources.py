@@ -105,6 +105,14 @@ def test_rust():
     assert {n["qualified_name"]: n for n in nodes}["file::p::tests::works"]["is_test"] and ends(edges, "imports") == {("", "module::crate::core::Graph")}
 
 
+def test_long_functions_keep_their_whole_text():
+    filler = "".join(f"    step({i});\n" for i in range(2_000))
+    rust = "fn long() {\n" + filler + "    let x: Engine = make();\n    x.start();\n}"
+    python = "def long():\n" + filler.replace(";", "") + "    last()"
+    for text, (nodes, _) in ((rust, code.extract_braces("p", rust, "rust")), (python, code.extract_python("p", python))):
+        assert [n["source_text"] for n in nodes if n["name"] == "long" and n["kind"] == "function"] == [text]
+
+
 def test_typescript_and_cpp():
     nodes, edges = code.extract_braces("p", TS, "typescript")
     k = by_kind(nodes)
