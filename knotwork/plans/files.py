@@ -13,8 +13,10 @@ from knotwork.streaming import events as ev
 
 
 def _documents_as_files(spark, folder):
-    d = read_table(spark, folder, "documents").where("doc_kind in ('readme', 'design_note', 'issue', 'changelog') and text is not null")
-    return d.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    """Every document with a text; its ending follows the markup, and prose of any kind is read as Markdown."""
+    d = read_table(spark, folder, "documents").where("text is not null")
+    ending = F.when(F.col("text").rlike(r"(?i)^\s*(<\?xml[^>]*>\s*)?<svg\b"), ".svg").when(F.col("text").rlike(r"(?i)^\s*<(!doctype html|html)\b"), ".html").otherwise(".md")
+    return d.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), ending).alias("path"), F.col("text").alias("content"))
 
 
 def _sources_as_files(spark, folder):

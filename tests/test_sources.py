@@ -6,6 +6,7 @@ import pytest
 from graphs import make
 from pyspark.sql import functions as F
 
+from knotwork.plans import files as plan_files
 from knotwork.sources import code, markup, sinks
 from knotwork.sources.diffs import diff_lines, parse_diff
 from knotwork.sources.extract import build, extract_rows, scan_files
@@ -248,3 +249,13 @@ def test_sinks(spark, tmp_path):
     rows, about = sinks.page(g.nodes, ["id"], 1, 1)
     assert about == {"total": 3, "offset": 1, "limit": 1, "next": 2} and '"id": 2' in sinks.to_json(rows, about)
     assert sinks.graph_page(g, c)["nodes"].count() == 3
+
+
+def test_every_kind_of_document_is_read(spark, tmp_path):
+    kinds = ["readme", "design_note", "issue", "changelog", "docstring", "commit_message", "source_comment", "diagram_text"]
+    rows = [(i, k, f"# Part {i}\nSee `load_graph`.") for i, k in enumerate(kinds)] + [
+        (20, "diagram_text", "<svg><text>Store</text></svg>"), (21, "docstring", "<html><h1>Top</h1></html>"), (22, "readme", None)]
+    spark.createDataFrame(rows, "doc_id bigint, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = {r.qualified_name for r in plan_files.markdown_sections(spark, str(tmp_path)).collect()}
+    assert {n for i in range(8) for n in [f"docs/{i}.md"] if any(n in x for x in names)} == {f"docs/{i}.md" for i in range(8)}
+    assert any("docs/20.svg" in x for x in names) and any("docs/21.html" in x for x in names) and not any("docs/22" in x for x in names)
