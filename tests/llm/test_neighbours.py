@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from knotwork.llm import neighbours as nb
@@ -6,16 +8,17 @@ from knotwork.llm import neighbours as nb
 SCHEMA = "node_id bigint, model string, vector array<float>, embedded_at timestamp, bucket string"
 
 
-def brute(vectors, k=5):
+def unit(vectors):
     ids = np.array(sorted(vectors))
     x = np.stack([np.asarray(vectors[i], dtype=np.float32).astype(np.float64) for i in ids])
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    return ids, x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def brute(vectors, k=5):
+    ids, x = unit(vectors)
     s = np.round(x @ x.T, 9)
-    out = set()
-    for i in range(len(ids)):
-        order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[i, j], ids[j]))[:k]
-        out |= {(int(ids[i]), int(ids[j])) for j in order}
-    return out
+    np.fill_diagonal(s, -2)
+    return {(int(i), int(ids[j])) for i, row in zip(ids, np.argsort(-s, axis=1, kind="stable")[:, :k]) for j in row}
 
 
 def clustered(n, seed=0):
@@ -24,32 +27,76 @@ def clustered(n, seed=0):
     return {i * 3: (centres[i % len(centres)] + 0.35 * rng.standard_normal(384)).astype(np.float32) for i in range(n)}
 
 
+def apart(n, seed=3):
+    rng = np.random.default_rng(seed)
+    return {i: rng.standard_normal(384).astype(np.float32) for i in range(n)}
+
+
 def frame(spark, vectors, extra=()):
     return spark.createDataFrame([(i, "m", [float(y) for y in x], None, "clash") for i, x in vectors.items()] + list(extra), SCHEMA)
 
 
-@pytest.mark.parametrize("block", [nb.BLOCK, 100])
-def test_recall(spark, monkeypatch, block):
-    monkeypatch.setattr(nb, "BLOCK", block)
-    monkeypatch.setattr(nb, "substring_bits", lambda n: 4)  # large buckets, so that small blocks are cut
-    vectors = clustered(600)
-    got = {(r.node_id, r.neighbour) for r in nb.nearest_nodes(frame(spark, vectors)).collect()}
-    want = brute(vectors)
-    assert len(got & want) / len(want) >= 0.95
-
-
-@pytest.mark.parametrize(("bits", "block"), [(None, nb.BLOCK), (11, 20)])
-def test_few_vectors_far_apart(spark, monkeypatch, bits, block):
-    """Hardly two share a bucket of 11 bits; every list is whole all the same."""
-    monkeypatch.setattr(nb, "BLOCK", block)
-    if bits:
-        monkeypatch.setattr(nb, "FEW", 0)
-        monkeypatch.setattr(nb, "substring_bits", lambda n: bits)
-    rng = np.random.default_rng(3)
-    vectors = {i: rng.standard_normal(384).astype(np.float32) for i in range(63)}
-    rows = nb.nearest_nodes(frame(spark, vectors)).collect()
+def stored(spark, folder, vectors):
+    ids = list(vectors)
+    numbers = pa.array(np.concatenate([np.asarray(vectors[i], dtype=np.float32) for i in ids]))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * 384 + 1, 384, dtype=np.int32)), numbers)
+    pq.write_table(pa.table({"node_id": pa.array(ids, pa.int64()), "vector": lists, "embedded_at": pa.nulls(len(ids), pa.timestamp("us"))}), f"{folder}/v.parquet")
+    return spark.read.parquet(f"{folder}/v.parquet")
+
+
+def recall(df, vectors, **options):
+    """Share of the true pairs found; every list has to be whole."""
+    rows = nb.nearest_nodes(df, **options).collect()
+    assert len(rows) == 5 * len(vectors)
     want = brute(vectors)
-    assert len(rows) == 63 * 5 and len({(r.node_id, r.neighbour) for r in rows} & want) / len(want) >= 0.9
+    return len({(r.node_id, r.neighbour) for r in rows} & want) / len(want)
+
+
+@pytest.mark.parametrize("bits", [None, 15])
+def test_recall_of_clustered_vectors(spark, tmp_path, bits):
+    vectors = clustered(3000)
+    assert recall(stored(spark, tmp_path, vectors), vectors, bits=bits) >= 0.95
+
+
+@pytest.mark.parametrize("bits", [None, 14])
+def test_recall_without_clusters(spark, tmp_path, bits):
+    vectors = apart(2000)
+    assert recall(stored(spark, tmp_path, vectors), vectors, bits=bits) >= 0.9
+
+
+def test_differing_bits_by_substring():
+    index = nb.Index(8)
+    assert len(index.cuts) == 16 and index.grown(1).radius == 64 * nb.WORDS
+    a = np.array([[0, 0]], dtype=np.uint64)
+    assert index.apart(a, a ^ np.uint64(1)).tolist() == [[1] + [0] * 7 + [1] + [0] * 7]
+
+
+def test_exact(spark, tmp_path):
+    vectors = apart(700, 5)
+    assert recall(stored(spark, tmp_path, vectors), vectors, exact=True) == 1
+
+
+@pytest.mark.parametrize("values", [{"BLOCK": 40, "WHOLE_HOME": 50}, {"DENSE": 0, "MANY": 1}])
+def test_large_buckets_dense_buckets_and_split_homes(spark, tmp_path, monkeypatch, values):
+    for name, value in values.items():
+        monkeypatch.setattr(nb, name, value)
+    vectors = clustered(900, 2)
+    vectors |= {5000 + i: v for i, v in enumerate(apart(6, 9).values())}  # these have no cluster
+    assert recall(stored(spark, tmp_path, vectors), vectors) >= 0.95
+
+
+def test_probes_with_flipped_bits(spark, tmp_path):
+    """Substrings of 21 bits: few neighbours share one exactly."""
+    vectors = clustered(900, 4)
+    df = stored(spark, tmp_path, vectors)
+    assert recall(df, vectors, bits=21, recall=0.8) >= 0.8
+
+
+@pytest.mark.parametrize("few", [nb.FEW, 0])
+def test_few_vectors_far_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(nb, "FEW", few)
+    vectors = apart(63)
+    assert recall(frame(spark, vectors), vectors) >= 0.9
 
 
 def test_copies_ties_and_unusable_vectors(spark):
