@@ -25,10 +25,11 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
             yield batch.slice(i, step)
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, enough: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """(table, starts): whole groups of equal ``key`` in a stream sorted by it.
 
-    starts holds the first row of each group and the number of rows; a group may span batches.
+    starts holds the first row of each group and the number of rows; a group may span batches. Of a group of more
+    than ``enough`` rows, whole further batches are left out, for readers who only need to see that it is large.
     """
     held: list[pa.RecordBatch] = []
     last = None
@@ -36,6 +37,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple
         if not batch.num_rows:
             continue
         keys = batch.column(key).to_numpy(zero_copy_only=False)
+        if enough is not None and held and last == keys[0] == keys[-1] and sum(b.num_rows for b in held) > enough:
+            continue
         cut = int(np.searchsorted(keys, keys[-1], side="left")) if keys[0] != keys[-1] else 0
         if cut == 0 and held and keys[0] != last:
             yield _grouped(held, key)

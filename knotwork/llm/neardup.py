@@ -5,6 +5,10 @@ nothing further. Each class gets ``BANDS * ROWS`` MinHash samples; classes that
 are candidates. The samples, folded into a bitmap of parities (an odd sketch), estimate the similarity of a
 candidate pair from the population count of the XOR of two bitmaps, in the JVM. Pairs whose estimate isn't
 clearly too low are checked exactly.
+
+A band that many classes share (a licence header, a template) is hot: its classes aren't paired. They go to
+blocks, pairs of blocks with a hot band in common meet in a task of their own, and there the same sketches and
+the same exact check let only similar pairs out.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.batches import list_array, text_batches
+from knotwork.llm.batches import list_array, sorted_groups, text_batches
 from knotwork.session import stage
 
 GRAM = 5
 BANDS, ROWS = 80, 5  # a pair of similarity 0.6 shares a band with probability 0.9985, one of 0.2 with 0.025, of 0.1 with 0.0008
 WORDS = 8  # 64-bit words of an odd sketch
 SLACK = 0.2  # more than three standard deviations of the estimate at a similarity of 0.6
+HOT = 512  # classes of a band above which they are compared in blocks
+BLOCK = 2_048  # classes of a block
 
 
 def normalised(text: Column) -> Column:
@@ -121,17 +127,99 @@ def _jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the classes that share a band; for a hot band one row (null, band) instead."""
+    for group, starts in sorted_groups(batches, "band", HOT):
+        ids, sizes = group.column("class_id").to_numpy(), np.diff(starts)
+        hot = np.flatnonzero(sizes > HOT)
+        ends = np.repeat(np.where(sizes > HOT, 0, starts[1:]), sizes)
+        at, far = np.arange(len(ids)), 1
+        while True:
+            at = at[at + far < ends[at]]
+            if not len(at):
+                break
+            x, y = ids[at], ids[at + far]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            far += 1
+        if len(hot):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), group.column("band").take(pa.array(starts[hot])).combine_chunks()], ["a", "b"])
+
+
+class _Grams:
+    """Inverted lists of the grams of some texts, for the exact overlap of one text with all of them."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in texts])
+        self.grams, inverse = np.unique(np.concatenate(texts), return_inverse=True)
+        self.holders = np.repeat(np.arange(len(texts)), self.sizes)[np.argsort(inverse, kind="stable")]
+        self.ends = np.cumsum(np.bincount(inverse, minlength=len(self.grams)))
+
+    def similarity(self, grams: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.grams, grams)
+        at = at[(at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == grams)]
+        lists = [self.holders[self.ends[i - 1] if i else 0 : self.ends[i]] for i in at]
+        common = np.bincount(np.concatenate(lists), minlength=len(self.sizes)) if lists else np.zeros(len(self.sizes), dtype=np.int64)
+        return common / (len(grams) + self.sizes - common)
+
+
+def _in_blocks(threshold: float):
+    n, k = 64 * WORDS, BANDS * ROWS
+    most = n / 2 * (1 - np.exp(-4 * k * (1 - threshold + SLACK) / n))  # differing bits at the least estimate that is looked at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in sorted_groups(batches, "bucket"):
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                group = table.slice(int(lo), int(hi - lo))
+                ids, role = group.column("class_id").to_numpy(), group.column("role").to_numpy()
+                words = np.stack([group.column(f"w{i}").to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
+                left, right = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
+                if not len(left) or not len(right):
+                    continue
+                texts = [gram_hashes(t) for t in group.column("content").to_pylist()]
+                lists, out = _Grams([texts[i] for i in right]), []
+                for i in left:
+                    apart = np.bitwise_count(words[right] ^ words[i]).sum(axis=1)
+                    ask = (apart <= most) & (ids[right] > ids[i] if role[i] == 0 else ids[right] != ids[i])
+                    if ask.any():
+                        s = lists.similarity(texts[i])
+                        hit = np.flatnonzero(ask & (s >= threshold))
+                        other = ids[right[hit]]
+                        out.append((np.minimum(other, ids[i]), np.maximum(other, ids[i]), s[hit]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b", "similarity"])
+
+    return run
+
+
+def _hot_links(sketches: DataFrame, posted: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the classes with a hot band (band): all that share one meet, block by block."""
+    held = stage(posted.join(hot, "band"), "hot-bands")
+    first = held.groupBy("class_id").agg(F.min("band").alias("first"))
+    pieces = first.groupBy("first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
+    placed = first.join(pieces, "first").select("class_id", F.xxhash64("first", F.pmod(F.xxhash64("class_id"), "pieces")).alias("block"))
+    placed = stage(placed, "hot-blocks")
+    present = held.join(placed, "class_id").select("band", "block").distinct()
+    meet = present.select("band", F.col("block").alias("i")).join(present.select("band", F.col("block").alias("j")), "band").where("i <= j").select("i", "j").distinct()
+    same = F.col("i") == F.col("j")
+    visits = stage(meet.select(F.xxhash64("i", "j").alias("bucket"), F.explode(F.when(same, F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("role")))).otherwise(
+        F.array(F.struct(F.col("i").alias("block"), F.lit(1).alias("role")), F.struct(F.col("j").alias("block"), F.lit(2).alias("role"))))).alias("v")).select("bucket", "v.*"), "hot-visits")
+    texts = placed.join(sketches.select("class_id", "content", *[f"w{i}" for i in range(WORDS)]), "class_id").join(visits, "block").drop("block")
+    return texts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_blocks(threshold), "a bigint, b bigint, similarity double")
+
+
 def similar_classes(sketches: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(a, b, similarity), a < b: the pairs of classes at or above the threshold, from a stored sketch table."""
     posted = sketches.select(F.explode("bands").alias("band"), "class_id")
-    left, right = posted.withColumnRenamed("class_id", "a"), posted.withColumnRenamed("class_id", "b")
-    pairs = left.join(right, "band").where("a < b").select("a", "b").distinct()
+    met = stage(posted.repartition("band").sortWithinPartitions("band").mapInArrow(_met, "a bigint, b bigint"), "candidates")
+    pairs = met.where("a is not null").distinct()
     words = [f"w{i}" for i in range(WORDS)]
     side = lambda k, p, cols: sketches.select(F.col("class_id").alias(k), *[F.col(c).alias(p + c) for c in cols])
     likely = pairs.join(side("a", "a", words), "a").join(side("b", "b", words), "b").where(_estimate("aw", "bw") >= threshold - SLACK).select("a", "b")
     texts = likely.join(side("b", "b", ["content"]), "b").join(side("a", "a", ["content"]), "a")
     jaccard = F.pandas_udf(_jaccard, "double")
-    return texts.select("a", "b", jaccard("acontent", "bcontent").alias("similarity")).where(F.col("similarity") >= threshold)
+    found = texts.select("a", "b", jaccard("acontent", "bcontent").alias("similarity")).where(F.col("similarity") >= threshold)
+    hot = met.where("a is null").select(F.col("b").alias("band")).distinct()
+    return found if hot.isEmpty() else found.unionByName(_hot_links(sketches, posted, hot, threshold)).dropDuplicates(["a", "b"])
 
 
 def _contents(nodes: DataFrame, least: int = 24) -> DataFrame:

@@ -1,5 +1,9 @@
 import random
+import time
 
+import pytest
+
+from knotwork.llm import neardup
 from knotwork.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 
 
@@ -25,7 +29,10 @@ def edited(rnd, words, k):
     return " ".join(words)
 
 
-def test_pairs_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [neardup.HOT, 1])
+def test_pairs_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "BLOCK", min(neardup.BLOCK, 16 * hot))
     rnd = random.Random(2)
     rows = []
     for g in range(40):
@@ -48,6 +55,18 @@ def test_a_group_of_copies_is_one_class(spark):
     assert {groups[i] for i in range(300)} == {(0, 1)} and groups[1000] == (1000, 0) and groups[1001] == (1001, 1)
 
 
+def test_many_texts_of_one_template(spark, tmp_path):
+    """20,000 short texts behind a common header: no pair is alike but the planted ones, and none is emitted."""
+    rnd = random.Random(4)
+    head = "licensed under the terms of the public licence, see the file for details: "
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(i, "t", head + word(70)) for i in range(20_000)]
+    rows += [(100_000 + i, "t", rows[i * 50][2][:-2] + "zz") for i in range(100)]
+    began = time.time()
+    got = {(r.id_a, r.id_b) for r in near_duplicate_pairs(spark.createDataFrame(rows, "id bigint, name string, source_text string")).collect()}
+    assert got == {(i * 50, 100_000 + i) for i in range(100)} and time.time() - began < 240
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id bigint, name string, source_text string")
     assert near_duplicate_pairs(df).count() == 0 and near_duplicate_groups(df).count() == 0
