@@ -1,11 +1,13 @@
 """Encoding of a corpus with a byte-level BPE of public rank files.
 
-Short texts are encoded whole. A long text is cut into parts that different tasks encode. A cut falls
-where the tokenizer's split pattern has a boundary whatever lies further left, so parts are independent.
-Where a single run of letters, digits, marks or blanks is so long that no such place exists, the run is
-halved, the leaves are encoded apart, and each join is mended by encoding growing windows around it again
-until the window begins and ends with the tokens that the two sides have there. A byte pair encoding is
-valid if each pair of neighbouring tokens is, so such a joined sequence is the encoding of the whole run.
+Short texts are encoded whole. A long text is halved, wherever the middle falls, until its leaves are small;
+leaves are encoded apart, those of very long texts in different tasks, and joined as a tree. Each join encodes a
+growing window of text around the cut again until both sides agree: the window starts at the last piece of
+the left side (and the one before it, as a contraction may reach back that far), which the split pattern finds whatever follows, and ends where the pattern
+has a boundary both in the window and in the right side alone. From there on the pattern, which never looks back,
+goes on alike. A piece longer than a leaf is joined from the tokens of its two halves, by windows of tokens that
+grow until they begin and end with what the sides have there: a byte pair encoding is valid if each pair of
+neighbouring tokens is.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import base64
 import functools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +26,11 @@ from pyspark.sql import functions as F
 from knotwork.llm.batches import list_array, text_batches
 
 DEFAULT_TOKENIZER = "byte_bpe_50k"
-LONG_CHARS = 65_536  # texts above this are spread over tasks
-PART_CHARS = 16_384
+LONG_CHARS = 32_768  # texts above this are spread over tasks
 LEAF_CHARS = 2_048
 
-# Letters and marks of settled classes: a letter or digit before a blank, or a letter before a mark that
-# is no apostrophe, always ends a piece of the split pattern.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁ一-龥"
-_MARK = "，。！？；：、,.;:!?()"
-_ANCHOR = re.compile(rf"(?<=[{_LETTER}0-9,.;:!?)])(?=[ \n\t])|(?<=[{_LETTER}])(?=[{_MARK}])")
+# A letter or digit before a blank always ends a piece of the split pattern: where to start looking for the last one.
+_ANCHOR = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n\t])")
 
 
 def rank_file(name: str = DEFAULT_TOKENIZER, folder: str | None = None) -> str:
@@ -43,6 +42,14 @@ def rank_file(name: str = DEFAULT_TOKENIZER, folder: str | None = None) -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
+class Part(NamedTuple):
+    """An encoded part of a text; the last two pieces of its split take ``tail`` characters."""
+
+    ids: np.ndarray
+    text: str
+    tail: int
+
+
 class Encoder:
     """One tokenizer, with exact encoding of texts of any length."""
 
@@ -54,86 +61,102 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = regex.compile(public_tokenizers.PATTERN)
-        n = LEAF_CHARS
-        self.runs = regex.compile(rf"\p{{L}}{{{n},}}|\p{{N}}{{{n},}}|[^\s\p{{L}}\p{{N}}]{{{n},}}|\s{{{n},}}")
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)  # bytes of each token
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        self.joins = 0
 
     def short(self, text: str) -> np.ndarray:
         return self.bpe.encode_to_numpy(text, disallowed_special=())
 
-    def piece(self, data: bytes) -> list[int]:
-        return self.bpe._core_bpe.encode_single_piece(data)
-
-    def split(self, text: str, size: int = PART_CHARS) -> list[tuple[int, str]]:
-        """(run, part) in order: run 0 for parts that stand alone, else the number of a halved run."""
-        out: list[tuple[int, str]] = []
-        start, run = 0, 0
-        while start < len(text):
-            cut = _ANCHOR.search(text, start + size) if len(text) - start > size else None
-            part = text[start : cut.start() if cut else len(text)]
-            start += len(part)
-            if len(part) < LEAF_CHARS or not self.runs.search(part):
-                out.append((0, part))
-                continue
-            plain, blanks = 0, []
-            for m in self.pieces.finditer(part):
-                if m.end() - m.start() >= LEAF_CHARS:
-                    # blanks before the run were split with it in sight, so each piece of them stands alone
-                    solid = blanks[0].start() if blanks else m.start()
-                    out += [(0, x) for x in (part[plain:solid], *(b.group() for b in blanks)) if x]
-                    run += 1
-                    out += [(run, leaf) for leaf in halves(m.group())]
-                    plain, blanks = m.end(), []
-                elif m.group().isspace():
-                    blanks.append(m)
-                else:
-                    blanks = []
-            if plain < len(part):
-                out.append((0, part[plain:]))
-        return out
-
-    def part(self, run: int, text: str) -> np.ndarray:
-        return np.array(self.piece(text.encode()), dtype=np.uint32) if run else self.short(text)
-
-    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def piece(self, data: bytes) -> np.ndarray:
+        return np.array(self.bpe._core_bpe.encode_single_piece(data), dtype=np.uint32)
+
+    def ends(self, text: str) -> list[int]:
+        """Where the pieces of a text end."""
+        return [m.end() for m in self.pattern.finditer(text)]
+
+    def leaf(self, text: str) -> Part:
+        """An encoded part of a text."""
+        w = 64
+        while True:
+            start = 0
+            if w < len(text):
+                anchor = _ANCHOR.search(text, len(text) - w)
+                start = anchor.start() if anchor else -1
+            cuts = [0, *self.ends(text[start:])] if start >= 0 else []
+            if start == 0 or len(cuts) > 2:
+                return Part(self.short(text), text, len(text) - start - cuts[max(0, len(cuts) - 3)])
+            w *= 4
+
+    def tokens(self, ids: np.ndarray, size: int, last: bool = False) -> int:
+        """Number of the first (or last) tokens that make up ``size`` bytes."""
+        some = ids[-size:][::-1] if last else ids[:size]
+        return int(np.searchsorted(np.cumsum(self.lengths[some]), size)) + 1 if size else 0
+
+    def join_tokens(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of a single piece from those of its two halves."""
         w = 8
         while True:
             a, b = left[-w:], right[:w]
-            mid = np.array(self.piece(self.bpe.decode_bytes(a.tolist() + b.tolist())), dtype=np.uint32)
+            mid = self.piece(self.bpe.decode_bytes(a.tolist() + b.tolist()))
             if (len(a) == len(left) or mid[0] == a[0]) and (len(b) == len(right) or mid[-1] == b[-1]):
                 return np.concatenate((left[: len(left) - len(a)], mid, right[len(b) :]))
             w *= 2
 
-    def assemble(self, parts: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """Ids of the whole text from its encoded parts; leaves of a run are joined as a tree."""
-        out: list[np.ndarray] = []
-        i = 0
-        while i < len(parts):
-            run, j = parts[i][0], i + 1
-            if run:
-                while j < len(parts) and parts[j][0] == run:
-                    j += 1
-            level = [x for _, x in parts[i:j]]
-            while len(level) > 1:
-                level = [self.join(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-            out += level
-            i = j
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
-
-    def encode(self, text: str | None) -> np.ndarray:
+    def join(self, left: Part, right: Part) -> Part:
+        self.joins += 1
+        before = left.text[len(left.text) - left.tail :]
+        n, w = len(before), 16
+        while True:
+            head = right.text[:w]
+            window, there = self.ends(before + head), self.ends(head)
+            whole = w >= len(right.text)
+            if not whole:  # what touches the window's end isn't settled
+                window, there = window[:-2], there[:-2]
+            agreed = next((e for e in window if e == n or e > n and e - n in set(there)), None)
+            if agreed is not None:
+                break
+            w *= 4
+        window = [e for e in window if e <= agreed]
+        text, out, start = before + head, [], 0
+        own = {0, *self.ends(before)}
+        for e in window:
+            if start < n < e and e - start > LEAF_CHARS and start in own and e - n in there:
+                a = self.tokens(left.ids, len(text[start:n].encode()), True)
+                b = self.tokens(right.ids, len(text[n:e].encode()))
+                out.append(self.join_tokens(left.ids[len(left.ids) - a :], right.ids[:b]))
+            else:
+                out.append(self.piece(text[start:e].encode()))
+            start = e
+        kept = left.ids[: len(left.ids) - self.tokens(left.ids, len(before.encode()), True)]
+        rest = right.ids[self.tokens(right.ids, len(text[n:agreed].encode())) :]
+        starts, behind = [0, *window[:-1]], len(right.text) - (agreed - n)
+        if right.tail <= behind and right.tail < len(right.text):
+            tail = right.tail
+        else:  # at most one piece of the right side lies behind the window
+            tail = behind + agreed - starts[-1 if behind else max(-2, -len(starts))]
+        return Part(np.concatenate((kept, *out, rest)), left.text + right.text, tail)
+
+    def tree(self, parts: list[Part]) -> np.ndarray:
+        """Ids of the whole text from its encoded leaves in order."""
+        while len(parts) > 1:
+            parts = [self.join(parts[k], parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+        return parts[0].ids if parts else np.zeros(0, dtype=np.uint32)
+
+    def encode(self, text: str | None, size: int = LEAF_CHARS) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
-        if len(text) < LEAF_CHARS:
-            return self.short(text)
-        return self.assemble([(run, self.part(run, p)) for run, p in self.split(text)])
+        return self.short(text) if len(text) <= size else self.tree([self.leaf(x) for x in halves(text, size)])
 
 
-def halves(text: str) -> list[str]:
-    """Leaves of at most LEAF_CHARS by halving, in order."""
-    if len(text) <= LEAF_CHARS:
+def halves(text: str, size: int = LEAF_CHARS) -> list[str]:
+    """Leaves of at most ``size`` characters by halving, in order."""
+    if len(text) <= size:
         return [text]
     mid = len(text) // 2
-    return halves(text[:mid]) + halves(text[mid:])
+    return halves(text[:mid], size) + halves(text[mid:], size)
 
 
 @functools.lru_cache(maxsize=4)
@@ -163,31 +186,29 @@ def encode_corpus(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, fold
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), last], ["doc_id", "n_tokens" if counts_only else "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
         for b in batches:
             for doc, row, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist()):
-                parts = e.split(text)
-                n = len(parts)
+                leaves = halves(text)
+                n = len(leaves)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([r for r, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.string())],
-                    ["doc_id", "row", "part", "run", "text"])
+                    [pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(leaves, pa.string())],
+                    ["doc_id", "row", "part", "text"])
 
-    def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            ids = [e.part(r, t) for r, t in zip(b.column("run").to_pylist(), b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "row", "part", "run")), list_array(ids, pa.int32())], ["doc_id", "row", "part", "run", "ids"])
+            leaves = [e.leaf(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "row", "part", "text")), pa.array([x.tail for x in leaves], pa.int32()), list_array([x.ids for x in leaves], pa.int32())],
+                                             ["doc_id", "row", "part", "text", "tail", "ids"])
 
     def assemble(table: pa.Table) -> pa.Table:
-        e = encoder(path)
         t = table.sort_by("part")
-        parts = [(r, np.asarray(x.values.to_numpy(), dtype=np.uint32)) for r, x in zip(t.column("run").to_pylist(), t.column("ids"))]
-        ids = e.assemble(parts)
+        ids = encoder(path).tree([Part(np.asarray(x.values.to_numpy(), dtype=np.uint32), text, tail) for x, text, tail in zip(t.column("ids"), t.column("text").to_pylist(), t.column("tail").to_pylist())])
         last = pa.array([len(ids)], type=pa.int32()) if counts_only else list_array([ids], pa.int32())
         return pa.table([t.column("doc_id").slice(0, 1), last], names=["doc_id", "n_tokens" if counts_only else "ids"])
 
     short_rows = rows.where(~long).mapInArrow(whole, out_type)
     # equal rows would share their parts, so each row gets an id; uuid() keeps its seed when a task is run again
-    parts = rows.where(long).withColumn("row", F.uuid()).mapInArrow(cut, "doc_id bigint, row string, part int, run int, text string")
-    encoded = parts.repartition("row", "part").mapInArrow(encode_parts, "doc_id bigint, row string, part int, run int, ids array<int>")
+    parts = rows.where(long).withColumn("row", F.uuid()).mapInArrow(cut, "doc_id bigint, row string, part int, text string")
+    encoded = parts.repartition("row", "part").mapInArrow(encode_leaves, "doc_id bigint, row string, part int, text string, tail int, ids array<int>")
     return short_rows.unionByName(encoded.groupBy("row").applyInArrow(assemble, out_type))

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from knotwork.llm.encoding import Encoder, encode_corpus, rank_file
+from knotwork.llm.encoding import LEAF_CHARS, Encoder, encode_corpus, halves, rank_file
 from knotwork.session import read_table
 
 
@@ -14,27 +14,37 @@ def enc():
     return Encoder(rank_file())
 
 
-PIECES = ["the ", "'s", "don't", "中文字，", "。", "    ", "\n\n", "  x", "123", "!!!", "é", "×,", "a" * 50, "0" * 70, " " * 60, "-" * 40, "😀", "\t", "Привет ", "　", "\x1c", "'ll"]
+PIECES = ["'", "l", "l", "'re", " ", "\n", "x'", "the ", "'s", "don't", "中文字，", "。", "    ", "\n\n", "  x", "123", "!!!", "é", "×,", "a" * 50, "0" * 70, " " * 60, "-" * 40, "😀", "\t", "Привет ", "　", "\x1c", "'ll"]
 
 
 def joined(enc, text, size):
-    parts = enc.split(text, size)
-    assert "".join(p for _, p in parts) == text
-    return enc.assemble([(r, enc.part(r, p)) for r, p in parts]).tolist()
+    leaves = halves(text, size)
+    assert "".join(leaves) == text
+    return enc.tree([enc.leaf(x) for x in leaves]).tolist()
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(PIECES), st.sampled_from([1, 1, 1, 2, 60])), max_size=40), st.sampled_from([1, 5, 400]))
-def test_parts_join_exactly(enc, pieces, size):
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(PIECES), st.sampled_from([1, 1, 1, 2, 60])), min_size=1, max_size=40), st.sampled_from([1, 2, 3, 7, 50]))
+def test_halves_join_exactly(enc, pieces, size):
     text = "".join(p * k for p, k in pieces)
     assert joined(enc, text, size) == enc.bpe.encode_ordinary(text)
 
 
 def test_unsplit_run_is_joined_as_a_tree(enc):
     rnd = random.Random(5)
-    for alphabet in ("ab", "abcdefghij", "0123456789", "-=_", " ", "中文字"):
+    for alphabet in ("ab", "abcdefghij", "0123456789", "-=_", " ", "中文字", " \n"):
         text = "".join(rnd.choice(alphabet) for _ in range(30_000))
-        assert joined(enc, text, 1000) == enc.bpe.encode_ordinary(text)
+        for whole in (text, f"start {text} end"):
+            assert joined(enc, whole, 1000) == enc.bpe.encode_ordinary(whole)
+
+
+def test_long_texts_of_the_corpus_are_joined(enc, spark, folder):
+    """Every text above a leaf goes through joins, as in p7_ids."""
+    texts = [r.text for r in read_table(spark, folder, "documents").where("length(text) > 2048").collect()]
+    before = enc.joins
+    for text in texts:
+        assert enc.encode(text).tolist() == enc.bpe.encode_ordinary(text)
+    assert texts and enc.joins - before >= sum(len(t) // LEAF_CHARS for t in texts) - len(texts)
 
 
 def test_corpus_against_other_library(spark, folder):
@@ -45,7 +55,7 @@ def test_corpus_against_other_library(spark, folder):
     t.encode_special_tokens = True
     docs = read_table(spark, folder, "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for limit in (65_536, 300):  # the second sends most texts along the distributed way
+    for limit in (32_768, 300):  # the second sends most texts along the distributed way
         got = {r.doc_id: r.ids for r in encode_corpus(docs, long_chars=limit).collect()}
         assert got.keys() == texts.keys()
         for k, text in texts.items():
