@@ -11,7 +11,7 @@ The items are then matched to the patterns' slots by their rank within their len
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -21,10 +21,11 @@ from knotwork.llm.encoding import DEFAULT_TOKENIZER, encode_corpus
 from knotwork.session import stage
 
 CAPACITY = 2_048
+RUN = 1_000_000  # items of a length that one task ranks
 
 
 class _Stock:
-    """Available items by length, and the number of available pairs by their sum."""
+    """Available items by length, the number of available pairs by their sum, and the sums that triples can have."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity = capacity
@@ -37,6 +38,20 @@ class _Stock:
         for a in lengths:
             b = lengths[lengths > a]
             np.add.at(self.pairs, (a + b)[a + b <= capacity], 1)
+        self._triples: np.ndarray | None = None
+
+    def triples(self) -> np.ndarray:
+        """Whether three items in stock may have this sum; built anew after a length is used up."""
+        if self._triples is None:
+            lengths = np.flatnonzero(self.count[: self.capacity + 1])
+            two = self.pairs > 0
+            twice = 2 * lengths[(self.count[lengths] > 1) & (2 * lengths <= self.capacity)]
+            two[twice] = True
+            sums = np.zeros(self.capacity + 1, dtype=bool)
+            for a in lengths:
+                sums[a:] |= two[: self.capacity + 1 - a]
+            self._triples = sums
+        return self._triples
 
     def take(self, pattern: Counter, times: int) -> None:
         for length, k in pattern.items():
@@ -45,6 +60,7 @@ class _Stock:
                 other = np.flatnonzero(self.count[: self.capacity - length + 1])
                 other = other[other != length]
                 self.pairs[other + length] -= 1
+                self._triples = None
 
     def free(self, used: Counter) -> np.ndarray:
         left = self.count
@@ -62,6 +78,8 @@ class _Stock:
         pair = self._pair(gap, left)
         if pair:
             return pair
+        if not self.triples()[gap]:
+            return None
         firsts = np.flatnonzero(left[: gap - 1] > 0)
         # the index counts pairs of different lengths; a pair of one length twice is looked up apart
         rest = gap - firsts
@@ -115,48 +133,52 @@ def plan_containers(counts: dict[int, int], capacity: int = CAPACITY) -> list[tu
     return out
 
 
-def pack_items(sizes: DataFrame, capacity: int = CAPACITY, item: str = "doc_id", size: str = "n_tokens", buckets: int = 64) -> DataFrame:
+def _slots(counts: dict[int, int], capacity: int) -> tuple[dict[int, int], list[tuple[int, int, int, int, int, int]]]:
+    """Chunk widths by length, and (length, chunk, low, high, times, base) slots.
+
+    The ranks low..high - 1 of a length go to the ``times`` containers from ``base`` on, in turn. A length's ranks are cut into as many equal chunks as it has slots, and a slot is listed in each chunk it
+    touches, so the slots listed are at most twice as many, and so are the comparisons of all its items.
+    """
+    runs, base, done = defaultdict(list), 0, Counter()
+    for lengths, times in plan_containers(counts, capacity):
+        for length, k in Counter(lengths).items():
+            runs[length].append((done[length], done[length] + k * times, times, base))
+            done[length] += k * times
+        base += times
+    width = {length: -(-counts[length] // len(rows)) for length, rows in runs.items()}
+    return width, [(length, c, *r) for length, rows in runs.items() for r in rows for c in range(r[0] // width[length], (r[1] - 1) // width[length] + 1)]
+
+
+def pack_items(sizes: DataFrame, capacity: int = CAPACITY, item: str = "doc_id", size: str = "n_tokens", run: int = RUN) -> DataFrame:
     """(doc_id, part_no, start, n_tokens, container): every part of every item with its container.
 
     An item of more than ``capacity`` is split into parts of ``capacity`` and a last one with the rest;
     all others stay whole. Null, zero and negative sizes are left out. Containers are numbered from 0.
     Repeated rows are items of their own. ``sizes`` should be cheap to read twice (a stored table).
 
-    Ranks within a length, of which one may hold most items, come from counts per (length, bucket of the
-    item's hash), so no task sorts more than about a ``buckets``-th of a length.
+    Items get ranks within their length. A length of more than ``run`` items, which may hold most of the corpus, is
+    ranked in buckets by hash of about that many, which start where the ones before end.
     """
     n = F.col(size).cast("bigint")
     parts = sizes.select(F.col(item).alias("doc_id"), n.alias("n")).where("n > 0").withColumn(
         "part_no", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))))
     parts = parts.select(
         "doc_id", "part_no", (F.col("part_no").cast("bigint") * capacity).alias("start"),
-        F.least(F.lit(capacity), F.col("n") - F.col("part_no") * F.lit(capacity)).cast("int").alias("length"),
-        F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(buckets)).cast("int").alias("bucket"),
-    )
-    tally = parts.groupBy("length", "bucket").agg(F.count("*").alias("k")).collect()  # at most capacity x buckets rows
-    counts: Counter = Counter()
-    for r in tally:
-        counts[r.length] += r.k
-    slots, base, done = [], 0, Counter()
-    for lengths, times in plan_containers(counts, capacity):
-        for length in lengths:
-            slots.append((length, done[length], done[length] + times, base - done[length]))
-            done[length] += times
-        base += times
-    offsets, seen = [], Counter()
-    for r in sorted(tally, key=lambda r: (r.length, r.bucket)):
-        offsets.append((r.length, r.bucket, seen[r.length]))
-        seen[r.length] += r.k
+        F.least(F.lit(capacity), F.col("n") - F.col("part_no") * F.lit(capacity)).cast("int").alias("length"))
+    counts = {r.length: r.k for r in parts.groupBy("length").agg(F.count("*").alias("k")).collect()}  # at most ``capacity`` rows
+    width, slots = _slots(counts, capacity)
     spark = sizes.sparkSession
-    # both tables are bounded by the capacity and the buckets, not by the corpus
-    offset = spark.createDataFrame(offsets, "length int, bucket int, offset bigint")
-    slot = spark.createDataFrame(slots, "length int, low bigint, high bigint, shift bigint")
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "part_no")
-    ranked = parts.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(offset), ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("offset")).drop("offset", "bucket")
-    s = F.broadcast(slot.withColumnRenamed("length", "slot_length"))
-    placed = ranked.join(s, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    return placed.select("doc_id", "part_no", "start", F.col("length").alias("n_tokens"), (F.col("rank") + F.col("shift")).alias("container"))
+    # both tables are bounded by the capacity, not by the corpus
+    length = spark.createDataFrame([(k, w, -(-counts[k] // run)) for k, w in width.items()], "length int, width bigint, pieces int")
+    slot = spark.createDataFrame(slots, "length int, chunk bigint, low bigint, high bigint, times bigint, base bigint")
+    parts = parts.join(F.broadcast(length), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), "pieces").cast("int"))
+    ranked = parts.withColumn("rank", (F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "part_no")) - 1).cast("bigint"))
+    if max(counts.values(), default=0) > run:
+        tally = parts.groupBy("length", "bucket").agg(F.count("*").alias("k"))  # a row for every ``run`` items
+        before = F.sum("k").over(Window.partitionBy("length").orderBy("bucket")) - F.col("k")
+        ranked = ranked.join(tally.select("length", "bucket", before.alias("before")), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    placed = ranked.withColumn("chunk", F.expr("rank div width")).join(F.broadcast(slot), ["length", "chunk"]).where("rank >= low and rank < high")
+    return placed.select("doc_id", "part_no", "start", F.col("length").alias("n_tokens"), (F.col("base") + (F.col("rank") - F.col("low")) % F.col("times")).alias("container"))
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOKENIZER, folder: str | None = None) -> DataFrame:

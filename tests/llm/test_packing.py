@@ -1,10 +1,11 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from knotwork.llm.packing import pack_documents, pack_items, plan_containers
+from knotwork.llm.packing import _slots, pack_documents, pack_items, plan_containers
 from knotwork.session import read_table
 
 
@@ -43,9 +44,21 @@ def test_no_worse_than_first_fit_decreasing():
         assert n <= first_fit_decreasing(draw.tolist(), 256) * 1.01 + 1
 
 
-def test_items_are_placed_whole(spark):
+def test_few_slots_are_compared_per_item():
+    draw = np.clip(np.random.default_rng(7).lognormal(5, 1.2, 1_000_000), 1, 2048).astype(int)
+    counts = Counter(draw.tolist())
+    width, slots = _slots(counts, 2048)
+    held = Counter()
+    for length, chunk, *_ in slots:
+        held[length, chunk] += 1
+    compared = sum(k * max(0, min(width[length], counts[length] - chunk * width[length])) for (length, chunk), k in held.items())
+    assert compared <= 3 * len(draw)
+
+
+@pytest.mark.parametrize("run", [1_000_000, 2])
+def test_items_are_placed_whole(spark, run):
     rows = [(i, n) for i, n in enumerate([5, 5, 5, 3, 2, 9, 23, 10, 0, None, -1, 1])] + [(0, 5)]
-    got = pack_items(spark.createDataFrame(rows, "doc_id bigint, n_tokens int"), capacity=10).collect()
+    got = pack_items(spark.createDataFrame(rows, "doc_id bigint, n_tokens int"), capacity=10, run=run).collect()
     fill, parts = Counter(), Counter()
     for r in got:
         fill[r.container] += r.n_tokens
