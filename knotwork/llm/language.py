@@ -34,9 +34,10 @@ CODES = {
 }
 LANGUAGES = tuple(CODES)
 
-MARGIN = 0.06  # least lead of the smallest size over the second, relative to the second
+MARGIN = 0.16  # least lead of the smallest size over the second, relative to the second
 CLEAR = 0.30  # a lead at which a chunk is taken to be of one language
 CHUNK = 480  # characters of sentences that are classified together
+SAMPLES = 10_000  # checked samples that may enter the dictionaries
 SAMPLE_DOCUMENTS = 4_000  # labelled documents whose text may enter the dictionaries
 DICTIONARY_BYTES = 48_000  # of each language
 
@@ -47,10 +48,6 @@ _CODE = re.compile(r"[_/\\<>=@{}\[\]|$#*+~^0-9]|::|[a-z]\(\)")
 _CODE_WORD = re.compile(rf"[!-~]*(?:{_CODE.pattern})[!-~]*")
 _SPAN = re.compile(r"`[^`\n]*`")
 _CJK = re.compile(r"[㐀-鿿]")
-_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
-_LATIN = re.compile(r"[a-zà-öø-ɏ]")
-#: Languages whose texts can't do without a script; the others are written in Latin letters.
-_SCRIPT = {"zh": _CJK, "ru": _CYRILLIC}
 _CARRIER = b" " * 64  # keeps the block compressible, so that savings show in the size of the shortest text
 
 
@@ -112,18 +109,10 @@ class Classifier:
         self.base = [len(c(_CARRIER)) for c in self.compress]
 
     def lead(self, words: str) -> tuple[str | None, float]:
-        """(language, relative lead over the second) of normalised text; None on a tie.
-
-        Languages whose script doesn't occur aren't tried. A single candidate is held against the text's size.
-        """
-        data = words.encode("utf-8", "surrogatepass")
-        scripts = {k: bool(r.search(words)) for k, r in _SCRIPT.items()} if not words.isascii() else {}
-        latin = words.isascii() or bool(_LATIN.search(words))
-        whole = data + _CARRIER
-        sizes = sorted((len(c(whole)) - b, k) for k, c, b in zip(self.languages, self.compress, self.base) if (scripts.get(k, False) if k in _SCRIPT else latin))
-        if not sizes:
-            return None, 0.0
-        first, second = sizes[0][0], max(1, sizes[1][0] if len(sizes) > 1 else len(data))
+        """(language, relative lead over the second) of normalised text; None on a tie. Every dictionary is tried."""
+        whole = words.encode("utf-8", "surrogatepass") + _CARRIER
+        sizes = sorted((len(c(whole)) - b, k) for k, c, b in zip(self.languages, self.compress, self.base))
+        first, second = sizes[0][0], max(1, sizes[1][0] if len(sizes) > 1 else len(whole))
         lead = min(1.0, max(0.0, (second - first) / second))
         return (sizes[0][1] if lead > 0 else None), lead
 
@@ -176,17 +165,17 @@ class Classifier:
         return best, min(1.0, lead[best] / max(total, 1e-9))
 
 
-def fit_dictionaries(samples: DataFrame, documents: DataFrame | None = None, max_documents: int = SAMPLE_DOCUMENTS, max_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def fit_dictionaries(samples: DataFrame, documents: DataFrame | None = None, max_samples: int = SAMPLES, max_documents: int = SAMPLE_DOCUMENTS, max_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries from checked samples (lang, text) and a bounded sample of documents.
 
-    At most 10,000 samples and ``max_documents`` documents (of 80 to 4,000 characters, those with the least
+    At most ``max_samples`` samples (of more, those with the least hash) and ``max_documents`` documents (of 80 to 4,000 characters, those with the least
     hash of their id) come to the driver. A document's text enters the dictionary of the language that its
     label states if the dictionaries of the checked samples find the same language with a clear lead, until
     the dictionary is full. Classification itself covers every document and its whole text.
     """
     texts: dict[str, list[str]] = defaultdict(list)
     rows = samples.select(stated_language(F.col("lang")).alias("k"), "text").where("k is not null and text is not null")
-    for r in rows.orderBy(F.xxhash64("text"), "k").limit(10_000).collect():
+    for r in rows.orderBy(F.xxhash64("text"), "k").limit(max_samples).collect():
         texts[r.k].append(plain_words(r.text))
     seeds = {k: " ".join(x).encode() for k, x in texts.items()}
     if documents is None or len(seeds) < 2:

@@ -26,6 +26,23 @@ def test_held_out_accuracy(halves):
     assert right / total >= 0.93
 
 
+def test_other_languages_are_rejected_by_the_margin(spark, folder):
+    """Neighbours of the known languages, in their scripts; one Bulgarian sentence shares long strings with a Russian sample."""
+    c = lg.Classifier(lg.fit_dictionaries(read_table(spark, folder, "lang_samples"), read_table(spark, folder, "documents")))
+    others = [
+        "Усі люди народжуються вільними і рівними у своїй гідності та правах.",
+        "Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства.",
+        "Ця функція завантажує граф з файлу і повертає кількість вузлів, які були знайдені під час пошуку.",
+        "Сва људска бића рађају се слободна и једнака у достојанству и правима.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "この関数はファイルからグラフを読み込み、検索中に見つかったノードの数を返します。",
+        "Тази функция зарежда графа от файла и връща броя на възлите, които са били намерени при търсенето.",
+        "Всички хора се раждат свободни и равни по достойнство и права. Те са надарени с разум и съвест.",
+    ]
+    found = [c.paragraph(x)[0] for x in others]
+    assert found[:6] == [None] * 6 and found.count(None) >= 7
+
+
 def test_paragraphs():
     text = "\n\none\r\n \t\r\ntwo\nstill two\n\n```py\ncode\n\nmore code\n```\n\nthree\n\n  \n\n"
     assert [(n, t.strip()) for n, t in lg.paragraphs(text)] == [(0, "one"), (1, "two\nstill two"), (2, ""), (3, ""), (4, "three")]
