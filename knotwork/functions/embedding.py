@@ -22,60 +22,60 @@ BUCKET_SEED, SIGN_SEED, FACTOR = 0xCBF29CE484222325, 0x9E3779B97F4A7C15, 0x10000
 TOKEN, STEM, CANONICAL, GRAM, PIECE, PAIR, CANONICAL_PAIR, TRIPLE, SKIP, ACRONYM, CONCEPT = 1.25, 0.70, 1.05, 0.24, 0.42, 0.82, 0.58, 0.36, 0.28, 0.85, 3.0
 #: Words that mean the same, by the word that stands for them.
 SAME = {
-    "remove": "delete deleted remove removed drop purge cleanup",
-    "add": "add added create created insert new",
-    "change": "change changed changes diff delta modify modified update updated",
-    "search": "find search lookup query discover",
-    "auth": "auth authenticate authentication login signin signon",
-    "test": "test tests spec specs coverage",
-    "bug": "bug defect error failure panic regression",
-    "cache": "cache cached memo memoize memoized",
-    "config": "config configuration setting settings",
-    "storage": "db database sqlite store storage persist persistence",
-    "doc": "doc docs document documentation readme",
-    "embedding": "embed embedding embeddings semantic vector vectors",
-    "source": "file files path paths source sources",
-    "graph": "graph node nodes edge edges flow flows",
-    "server": "http server serve route routes",
-    "ignore": "ignore gitignore exclude skip",
-    "index": "index indexed indexing fts fts5",
-    "install": "install installer setup hook hooks",
-    "agent": "json mcp tool tools agent agents",
-    "rank": "rank ranking score scored scoring boost boosted",
-    "extract": "read reader parse parser extract extraction",
-    "review": "review risk impact blast radius",
-    "symbol": "symbol symbols function functions method methods",
-    "ui": "terminal tui ui viewer view",
-    "watch": "watch daemon poll polling",
+    "remove": ("delete", "deleted", "remove", "removed", "drop", "purge", "cleanup"),
+    "add": ("add", "added", "create", "created", "insert", "new"),
+    "change": ("change", "changed", "changes", "diff", "delta", "modify", "modified", "update", "updated"),
+    "search": ("find", "search", "lookup", "query", "discover"),
+    "auth": ("auth", "authenticate", "authentication", "login", "signin", "signon"),
+    "test": ("test", "tests", "spec", "specs", "coverage"),
+    "bug": ("bug", "defect", "error", "failure", "panic", "regression"),
+    "cache": ("cache", "cached", "memo", "memoize", "memoized"),
+    "config": ("config", "configuration", "setting", "settings"),
+    "storage": ("db", "database", "sqlite", "store", "storage", "persist", "persistence"),
+    "doc": ("doc", "docs", "document", "documentation", "readme"),
+    "embedding": ("embed", "embedding", "embeddings", "semantic", "vector", "vectors"),
+    "source": ("file", "files", "path", "paths", "source", "sources"),
+    "graph": ("graph", "node", "nodes", "edge", "edges", "flow", "flows"),
+    "server": ("http", "server", "serve", "route", "routes"),
+    "ignore": ("ignore", "gitignore", "exclude", "skip"),
+    "index": ("index", "indexed", "indexing", "fts", "fts5"),
+    "install": ("install", "installer", "setup", "hook", "hooks"),
+    "agent": ("json", "mcp", "tool", "tools", "agent", "agents"),
+    "rank": ("rank", "ranking", "score", "scored", "scoring", "boost", "boosted"),
+    "extract": ("read", "reader", "parse", "parser", "extract", "extraction"),
+    "review": ("review", "risk", "impact", "blast", "radius"),
+    "symbol": ("symbol", "symbols", "function", "functions", "method", "methods"),
+    "ui": ("terminal", "tui", "ui", "viewer", "view"),
+    "watch": ("watch", "daemon", "poll", "polling"),
 }
 #: Endings a stem loses, the first that fits.
 STEM_ENDINGS = ("ing", "ed", "er", "or", "able", "ible", "tion", "ions")
 #: Concepts, each with word groups of which every one must occur; alternatives in a list.
 CONCEPTS = (
-    ("embedding", [["embed embedding semantic vector"]]),
-    ("delete-source", [["delete remove drop purge", "file source node edge"]]),
-    ("review-coverage", [["test spec coverage", "risk review change diff"]]),
-    ("semantic-search", [["embed embedding semantic vector", "search rank score"]]),
-    ("agent-interface", [["mcp tool agent json"]]),
-    ("automation", [["config mcp setup"], ["watch daemon hook install"]]),
-    ("graph-reasoning", [["graph node edge flow", "rank impact path community"]]),
+    ("embedding", [[("embed", "embedding", "semantic", "vector")]]),
+    ("delete-source", [[("delete", "remove", "drop", "purge"), ("file", "source", "node", "edge")]]),
+    ("review-coverage", [[("test", "spec", "coverage"), ("risk", "review", "change", "diff")]]),
+    ("semantic-search", [[("embed", "embedding", "semantic", "vector"), ("search", "rank", "score")]]),
+    ("agent-interface", [[("mcp", "tool", "agent", "json")]]),
+    ("automation", [[("config", "mcp", "setup")], [("watch", "daemon", "hook", "install")]]),
+    ("graph-reasoning", [[("graph", "node", "edge", "flow"), ("rank", "impact", "path", "community")]]),
 )
 #: Words, operators and marks of code.
-CODE_WORDS = frozenset("fn def func class struct impl trait interface let const var public private static async await return yield for while if else match switch try catch throw new type enum union import export from package module pub self this".split())
+CODE_WORDS = frozenset(("fn", "def", "func", "class", "struct", "impl", "trait", "interface", "let", "const", "var", "public", "private", "static", "async", "await", "return", "yield", "for", "while", "if", "else", "match", "switch", "try", "catch", "throw", "new", "type", "enum", "union", "import", "export", "from", "package", "module", "pub", "self", "this"))
 CODE_MARKS = re.compile(r"->|=>|\|\||&&|!=|<=|>=|\+\+|--|\+=|-=|\*=|/=|[{}\[\]();:,]")
 #: Features of code by prefix, weight and words; a word of the group gives prefix:word.
 CODE_GROUPS = (
-    ("access", 1.2, "public private protected static pub const"),
-    ("type", 1.1, "string int float bool boolean number vec vector list array map dict option optional nullable any void null"),
-    ("async", 1.5, "async await coroutine promise future defer"),
-    ("coll", 1.0, "append insert push pop remove filter map reduce sort reverse flatten merge join collect iter iterate find contains get set delete clear size length"),
-    ("io", 1.0, "read write open close stream buffer file path url http tcp socket connect disconnect"),
+    ("access", 1.2, ("public", "private", "protected", "static", "pub", "const")),
+    ("type", 1.1, ("string", "int", "float", "bool", "boolean", "number", "vec", "vector", "list", "array", "map", "dict", "option", "optional", "nullable", "any", "void", "null")),
+    ("async", 1.5, ("async", "await", "coroutine", "promise", "future", "defer")),
+    ("coll", 1.0, ("append", "insert", "push", "pop", "remove", "filter", "map", "reduce", "sort", "reverse", "flatten", "merge", "join", "collect", "iter", "iterate", "find", "contains", "get", "set", "delete", "clear", "size", "length")),
+    ("io", 1.0, ("read", "write", "open", "close", "stream", "buffer", "file", "path", "url", "http", "tcp", "socket", "connect", "disconnect")),
 )
 #: Features of code that any word of a group gives.
-CODE_SIGNS = (("error-handling", 1.3, "error exception panic"), ("try-catch", 1.3, "try catch"), ("result-type", 1.3, "result ok err"))
-TEST_SIGN = (1.2, "test spec mock stub fixture setup teardown assert expect should given when then")
+CODE_SIGNS = (("error-handling", 1.3, ("error", "exception", "panic")), ("try-catch", 1.3, ("try", "catch")), ("result-type", 1.3, ("result", "ok", "err")))
+TEST_SIGN = (1.2, ("test", "spec", "mock", "stub", "fixture", "setup", "teardown", "assert", "expect", "should", "given", "when", "then"))
 
-_CANONICAL = {w: k for k, words in SAME.items() for w in words.split()}
+_CANONICAL = {w: k for k, words in SAME.items() for w in words}
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
@@ -138,17 +138,17 @@ def features_of(text: str) -> Counter:
     have = set(unique)
     if CODE_MARKS.search(text) or CODE_WORDS & set(text.split()):
         for prefix, w, words in CODE_GROUPS:
-            for word in words.split():
+            for word in words:
                 if word in have:
                     out[f"{prefix}:{word}"] += w
         for sign, w, words in CODE_SIGNS:
-            if have & set(words.split()):
+            if have & set(words):
                 out[sign] += w
-        first = next((x for x in TEST_SIGN[1].split() if x in have), None)
+        first = next((x for x in TEST_SIGN[1] if x in have), None)
         if first:
             out[f"test-pat:{first}"] += TEST_SIGN[0]
     for name, ways in CONCEPTS:
-        if any(all(have & set(group.split()) for group in way) for way in ways):
+        if any(all(have & set(group) for group in way) for way in ways):
             out[f"concept:{name}"] += CONCEPT
     return out
 

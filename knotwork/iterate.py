@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.session import stage
+from knotwork.session import discard, stage
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], DataFrame], label: str) -> DataFrame:
-    """Apply ``step`` until ``changed(old, new)`` has no rows, however many rounds that takes; each round is stored.
+    """Apply ``step`` until ``changed(old, new)`` has no rows, however many rounds that takes.
+
+    Each round is stored, and the one before it removed.
 
     The step must settle: each caller's values only fall, or its rows only grow.
     """
     current = stage(start, label)
     while True:
         following = stage(step(current), label)
-        if changed(current, following).isEmpty():
+        settled = changed(current, following).isEmpty()
+        discard(current)
+        if settled:
             return following
         current = following
 
@@ -33,8 +38,8 @@ def repeat(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int
     return current
 
 
-def reach(seeds: DataFrame, links: DataFrame, depth: int, label: str = "reach") -> DataFrame:
-    """(source, id, depth): breadth-first levels from seeds (source, id) over links (a, b), at most ``depth``.
+def reach(seeds: DataFrame, links: DataFrame, depth: int | None, label: str = "reach") -> DataFrame:
+    """(source, id, depth): breadth-first levels from seeds (source, id) over links (a, b), at most ``depth`` if one is given.
 
     A node is kept at its first level only. links should be distinct; a hub's links are spread by the
     adaptive skew join. Stops when a level is empty.
@@ -43,7 +48,7 @@ def reach(seeds: DataFrame, links: DataFrame, depth: int, label: str = "reach")
     seen = stage(seeds.select("source", "id", F.lit(0).alias("depth")).distinct(), label)
     levels = [seen]
     frontier = seen
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         near = frontier.join(links, frontier["id"] == links["a"]).select("source", F.col("b").alias("id")).distinct()
         visited = levels[0]
         for x in levels[1:]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.graph import PropertyGraph, is_placeholder
 from knotwork.iterate import repeat
-from knotwork.session import stage
+from knotwork.session import discard, stage
 from knotwork.weights import RANK, edge_weight
 
 
@@ -16,8 +16,9 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, iterations: int = 50,
 
     An edge weighs its kind's weight times its confidence, 0.05 at least; ambiguous edges are dropped. The mass
     of nodes without edges goes where the teleport goes: everywhere alike, or with seeds (id, weight) to them by
-    weight (negative weights count 0; if none is positive, everywhere alike). Each round has one shuffle:
-    contributions combine before it, and the edge table, stored partition-wise by source, is read in place.
+    weight (negative weights count 0; if none is positive, everywhere alike). Contributions combine before
+    their shuffle, and only the state of the last round is kept; the links are joined with the ranks anew each round,
+    by broadcast as long as the ranks are small and otherwise by a shuffle of both.
     """
     e = graph.edges.where("conf_class <> 'ambiguous'").withColumn("w", edge_weight(F.col("kind"), RANK) * F.greatest("confidence", F.lit(0.05)))
     links = e.groupBy("src", "dst").agg(F.sum("w").alias("w"))
@@ -33,12 +34,15 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, iterations: int = 50,
         if whole > 0:
             base = graph.nodes.select("id").join(s, "id", "left").select("id", (F.coalesce("weight", F.lit(0.0)) / whole).alias("teleport"))
     base = stage(base, "rank-base")
+    rounds = [None]
 
     def step(ranks: DataFrame) -> DataFrame:
         got = ranks.join(links, ranks["id"] == links["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         merged = base.join(got.withColumnRenamed("dst", "id"), "id", "left").select("id", "teleport", F.coalesce("got", F.lit(0.0)).alias("got"))
         # what didn't arrive is dangling mass
         merged = stage(merged, "rank-round")
+        discard(rounds[-1])
+        rounds.append(merged)
         lost = 1.0 - merged.agg(F.sum("got").alias("s")).collect()[0].s  # one number
         return merged.select("id", (F.col("teleport") * F.lit((1 - damping) + damping * lost) + F.lit(damping) * F.col("got")).alias("rank"))
 

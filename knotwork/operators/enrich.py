@@ -11,7 +11,11 @@ from knotwork.graph import PLACEHOLDER, PropertyGraph, is_placeholder
 CALLABLE = ("function", "method", "class", "type")
 MENTIONABLE = ("function", "class", "method", "type", "trait", "impl")
 #: What variables of these names usually hold.
-NAMED_TYPES = {"graph": "Graph", "store": "Store", "node": "Node", "edge": "Edge", "path": "Path", "config": "Config"}
+NAMED_TYPES = {
+    "graph": "Graph", "main_graph": "Graph", "app_graph": "Graph", "g": "Graph", "motif": "MotifBuilder", "mb": "MotifBuilder", "motif_builder": "MotifBuilder",
+    "store": "Store", "db": "Store", "database": "Store", "parser": "Parser", "ts_parser": "Parser", "config": "Config", "cfg": "Config",
+    "ctx": "Context", "context": "Context", "options": "Options", "opts": "Options",
+}
 
 
 def folder(path: Column) -> Column:
@@ -37,7 +41,7 @@ def call_candidates(graph: PropertyGraph) -> DataFrame:
     graph.edges needs call_scope and call_receiver, graph.nodes source_text.
     """
     n = graph.nodes
-    open_ = n.where(is_placeholder(F.col("qualified_name"))).select(F.col("id").alias("dst"), F.substring("qualified_name", len(PLACEHOLDER) + 1, 10_000).alias("callee"))
+    open_ = n.where(is_placeholder(F.col("qualified_name"))).select(F.col("id").alias("dst"), F.substr("qualified_name", F.lit(len(PLACEHOLDER) + 1)).alias("callee"))
     caller = n.select(F.col("id").alias("src"), F.col("qualified_name").alias("from_name"), F.col("source_uri").alias("from_file"), F.col("source_text").alias("from_text"))
     to = n.where(F.col("kind").isin(*CALLABLE) & ~is_placeholder(F.col("qualified_name"))).select(F.col("id").alias("candidate"), F.col("name").alias("callee"), F.col("qualified_name").alias("to_name"), F.col("source_uri").alias("to_file"))
     calls = graph.edges.where("kind = 'calls'").select("edge_id", "src", "dst", "call_scope", "call_receiver")
@@ -149,14 +153,17 @@ def alias_targets(imports: DataFrame, aliases: DataFrame, files: DataFrame) -> D
     imports has (import, importer), files has (path). The nearest configuration above the importer counts; a
     pattern is exact or has one ``*``; endings and index files are probed in order.
     """
-    i = imports.join(aliases, imports["importer"].startswith(aliases["config_dir"]))
+    # every folder above the importer, the root included, is a key
+    parts = F.split("importer", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    i = imports.select("import", "importer", F.explode(above).alias("_dir")).join(aliases.withColumn("_dir", F.regexp_replace("config_dir", "/+$", "")), "_dir").drop("_dir")
     prefix, suffix = F.split("pattern", r"\*")[0], F.try_element_at(F.split("pattern", r"\*"), F.lit(2))
     exact = F.col("import") == F.col("pattern")
     wild = F.col("pattern").contains("*") & F.col("import").startswith(prefix) & F.col("import").endswith(F.coalesce(suffix, F.lit("")))
     rest = F.expr("substring(import, length(split(pattern, '\\\\*')[0]) + 1, length(import) - length(replace(pattern, '*', '')))")
     i = i.where(exact | wild).withColumn("base", F.when(exact, F.col("target")).otherwise(F.replace("target", F.lit("*"), rest)))
-    i = i.withColumn("base", F.when(F.col("config_dir") == "", F.col("base")).otherwise(F.concat_ws("/", F.regexp_replace("config_dir", "/$", ""), "base")))
+    i = i.withColumn("base", F.when(F.col("config_dir") == "", F.col("base")).otherwise(F.concat_ws("/", F.regexp_replace("config_dir", "/+$", ""), "base")))
     probes = F.array(*[F.struct(F.lit(k).alias("k"), F.concat("base", F.lit(x)).alias("path")) for k, x in enumerate(("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"))])
-    i = i.select("import", "importer", F.length("config_dir").alias("near"), exact.alias("exact"), F.explode(probes).alias("p")).select("import", "importer", "near", "exact", "p.*")
+    i = i.select("import", "importer", F.length(F.regexp_replace("config_dir", "/+$", "")).alias("near"), exact.alias("exact"), F.explode(probes).alias("p")).select("import", "importer", "near", "exact", "p.*")
     best = i.join(files, "path").groupBy("import", "importer").agg(F.max(F.struct("near", "exact", (-F.col("k")).alias("k"), "path")).alias("r"))
     return best.select("import", "importer", "r.path")

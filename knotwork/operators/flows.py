@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.graph import PropertyGraph, is_placeholder
-from knotwork.iterate import reach
 from knotwork.session import stage
 
 
@@ -30,13 +31,37 @@ def fan_in(graph: PropertyGraph) -> DataFrame:
 def trace(graph: PropertyGraph, depth: int = 6, cap: int = 200, entries: DataFrame | None = None) -> DataFrame:
     """(flow_id, node_id, depth): members of each entry's flow, the ``cap`` most relevant ones.
 
-    Relevance is 1/(depth + 1) + min(0.5, fan-in/10); ties go to the smaller id.
+    The search goes level by level, by id within a level, and a flow stops growing at max(10 x cap, 500) members. In
+    a flow above the cap relevance is 1/(depth + 1) + min(0.5, calls from members of the flow/10); ties go to the
+    smaller depth, then id, so the entry always stays.
     """
+    ceiling = max(10 * cap, 500)
     e = entries if entries is not None else entry_points(graph)
-    found = reach(e.select(F.col("id").alias("source"), "id"), call_links(graph), depth, "flows")
-    ranked = found.join(fan_in(graph), "id", "left").withColumn("relevance", 1.0 / (F.col("depth") + 1) + F.least(F.lit(0.5), F.coalesce("fan_in", F.lit(0)) / 10))
-    order = Window.partitionBy("source").orderBy(F.desc("relevance"), "id")
-    return ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).select(F.col("source").alias("flow_id"), F.col("id").alias("node_id"), "depth")
+    links = stage(call_links(graph), "flow-links")
+    levels = [stage(e.select(F.col("id").alias("source"), "id", F.lit(0).alias("depth")).distinct(), "flows")]
+    size = levels[0].select("source", F.lit(1).cast("bigint").alias("size"))
+    for d in range(1, depth + 1):
+        near = levels[-1].join(links, levels[-1]["id"] == links["a"]).select("source", F.col("b").alias("id")).distinct()
+        seen = functools.reduce(DataFrame.unionByName, levels)
+        fresh = near.join(seen.select("source", "id"), ["source", "id"], "left_anti").join(size, "source")
+        ranked = fresh.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("id")))
+        fresh = stage(ranked.where(F.col("size") + F.col("r") <= ceiling).select("source", "id", F.lit(d).alias("depth")), "flows")
+        if fresh.isEmpty():
+            break
+        levels.append(fresh)
+        size = seen.unionByName(fresh).groupBy("source").agg(F.count("*").alias("size")).where(F.col("size") < ceiling)
+    found = functools.reduce(DataFrame.unionByName, levels)
+    large = stage(found.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("source"), "large-flows")
+    if not large.isEmpty():
+        crowded = stage(found.join(large, "source", "left_semi"), "crowded-flows")
+        calls = graph.edges.where("kind = 'calls'").select("src", F.col("dst").alias("id"))
+        inner = crowded.select("source", "id").join(calls, "id").join(crowded.select("source", F.col("id").alias("src")), ["source", "src"])
+        inner = inner.groupBy("source", "id").agg(F.count("*").alias("calls"))
+        ranked = crowded.join(inner, ["source", "id"], "left").withColumn("relevance", 1.0 / (F.col("depth") + 1) + F.least(F.lit(0.5), F.coalesce("calls", F.lit(0)) / 10))
+        order = Window.partitionBy("source").orderBy(F.desc("relevance"), "depth", "id")
+        kept = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).select("source", "id", "depth")
+        found = found.join(large, "source", "left_anti").unionByName(kept)
+    return found.select(F.col("source").alias("flow_id"), F.col("id").alias("node_id"), "depth")
 
 
 def flows(graph: PropertyGraph, members: DataFrame, least: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +99,12 @@ def snippets(files: DataFrame, ranges: DataFrame, context: int = 4, max_lines: i
     return near.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("line_no"))).where(F.col("r") <= max_lines).drop("r")
 
 
-def within_budget(snippet_rows: list[tuple[str, str]], token_budget: int = 1600) -> tuple[int, list[tuple[str, str]]]:
-    """Greedy fold of few (path, text) snippets: the first always enters, later ones only if they fit."""
+def within_budget(costs: Iterable[tuple[str, int]], token_budget: int = 1600) -> tuple[int, list[str]]:
+    """(tokens used, paths) by a greedy fold of (path, tokens): the first always enters, later ones only if they fit."""
     used, out = 0, []
-    for path, text in snippet_rows:
-        cost = -(-len(text) // 4)
+    for path, cost in costs:
         if not out or used + cost <= token_budget:
-            out.append((path, text))
+            out.append(path)
             used += cost
     return used, out
 

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from knotwork.functions.canonical import canonical_json
 
 
-def stack_snapshots(older: DataFrame, latest: DataFrame, number: int | None = None) -> DataFrame:
-    """Snapshots (with snap_no) and the latest full table as one frame; number defaults to 4."""
+def stack_snapshots(older: DataFrame, latest: DataFrame, number: int) -> DataFrame:
+    """Snapshots (with snap_no) and the latest full table, snapshot ``number``, as one frame."""
     columns = ["qualified_name", "line_start", "properties", "delivered_at"]
     return older.select("snap_no", *columns).unionByName(
-        latest.select(F.lit(4 if number is None else number).cast("int").alias("snap_no"), *columns))
+        latest.select(F.lit(number).cast("int").alias("snap_no"), *columns))
 
 
-def snapshot_changes(snapshots: DataFrame, last: int = 4, first: int = 1) -> DataFrame:
-    """(snap_no, qualified_name, change) for each snapshot after ``first`` against the one before.
+def snapshot_changes(snapshots: DataFrame, first: int, last: int) -> DataFrame:
+    """(snap_no, qualified_name, change) for each snapshot after ``first`` up to ``last`` against the one before.
 
     change is ``added``, ``removed`` or ``changed`` (line_start, null equal to null, or properties as
     JSON values). Spaces around a name don't count. Of the rows of one name in a snapshot the one

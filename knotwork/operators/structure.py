@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from knotwork.graph import PropertyGraph, is_placeholder
 from knotwork.iterate import fixpoint, reach
 from knotwork.operators.traverse import links
-from knotwork.session import stage
+from knotwork.session import discard, stage
 
 
 def hub_nodes(graph: PropertyGraph, top: int = 25) -> DataFrame:
@@ -44,10 +44,12 @@ def least_labels(ids: DataFrame, pairs: DataFrame, label: str = "components") ->
         joined = large.join(low, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         small = stage(small, label)
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
-            edges = small
-            break
+        discard(large)
+        settled = small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty()
+        discard(edges)
         edges = small
+        if settled:
+            break
     return ids.select("id").join(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -268,7 +270,7 @@ def _cut_points_at_any_size(pairs: DataFrame, member: DataFrame) -> DataFrame:
     A node is a cut point if its edge and its children's are in more than one block. Rounds: the tree's depth.
     """
     roots = member.where("a = component").select(F.col("a").alias("source"), F.col("a").alias("id"))
-    level = stage(reach(roots, pairs, 1_000_000, "cut-levels").select("id", "source", "depth"), "cut-levels")
+    level = stage(reach(roots, pairs, None, "cut-levels").select("id", "source", "depth"), "cut-levels")
     up = pairs.join(level.select(F.col("id").alias("a"), F.col("depth").alias("da")), "a").join(level.select(F.col("id").alias("b"), F.col("depth").alias("db")), "b")
     parent = up.where("da + 1 = db").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
     tree = stage(level.join(parent, "id", "left"), "cut-tree")
@@ -372,7 +374,7 @@ def _dependencies(a: np.ndarray, b: np.ndarray, source: int) -> tuple[np.ndarray
     return ids, flow
 
 
-def approx_betweenness(graph: PropertyGraph, sources: int = 64, depth: int = 1000, small: int = SMALL_LINKS) -> DataFrame:
+def approx_betweenness(graph: PropertyGraph, sources: int = 64, small: int = SMALL_LINKS) -> DataFrame:
     """(id, betweenness) from breadth-first searches of the first ``sources`` nodes by id.
 
     The dependency of a node is split equally over its predecessors on shortest paths, from the deepest
@@ -394,7 +396,7 @@ def approx_betweenness(graph: PropertyGraph, sources: int = 64, depth: int = 100
 
         part = first.repartition(min(sources, 16)).mapInPandas(search, "id bigint, x double")
         return _summed(ids, part)
-    levels = stage(reach(first.select(F.col("id").alias("source"), "id"), l, depth, "between"), "between-levels")
+    levels = stage(reach(first.select(F.col("id").alias("source"), "id"), l, None, "between"), "between-levels")
     deepest = levels.agg(F.max("depth").alias("d")).collect()[0].d or 0  # one number
     up = levels.select("source", F.col("id").alias("b"), F.col("depth").alias("db"))
     before = stage(up.join(l, "b").join(levels.select("source", F.col("id").alias("a"), F.col("depth").alias("da")), ["source", "a"]).where("da + 1 = db").select("source", "a", "b", "db"), "between-dag")

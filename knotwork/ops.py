@@ -13,6 +13,7 @@ from knotwork.graph import PropertyGraph
 from knotwork.operators import centrality, communities, flows, motifs, refactor, review, search, structure, temporal, traverse
 from knotwork.session import stage
 from knotwork.sources import sinks
+from knotwork.weights import STRUCTURAL
 
 ALIASES = {
     "context": "minimal_context", "k_core": "core", "articulation_points": "articulation", "surprise_scoring": "surprises", "health": "diagnostics",
@@ -103,8 +104,17 @@ def _coverage(c: Context, target: str | None = None, **_):
 def _context_snippets(c: Context, max_lines_per_file: int = 200, token_budget: int = 1600, **_):
     lines = review.snippets(c.files, c.hunks.select("path", F.col("new_start").alias("line_start"), (F.col("new_start") + F.col("new_count")).alias("line_end")), max_lines=max_lines_per_file)
     per = lines.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: F.format_string("%d: %s", x["line_no"], x["text"])), "\n").alias("text"))
-    used, chosen = review.within_budget([(r.path, r.text) for r in per.orderBy("path").limit(500).collect()], token_budget)
-    return c.graph.nodes.sparkSession.createDataFrame(chosen, "path string, text string").withColumn("used_tokens", F.lit(used))
+    per = stage(per, "snippets")
+    # of every file only its size comes here; texts only of those within the budget
+    sizes = per.select("path", F.ceil(F.length("text") / 4).alias("cost")).orderBy("path").toLocalIterator()
+    used, chosen = review.within_budget(((r.path, r.cost) for r in sizes), token_budget)
+    return per.where(F.col("path").isin(chosen)).select("path", "text", F.lit(used).alias("used_tokens"))
+
+
+def _paths(c: Context, source: str, target: str, max_hops: int = 5, limit: int = 10, structural_only: bool = False, **_):
+    best = traverse.top_paths(c.graph, c.seed(source), c.seed(target), max_hops, limit, kinds=list(STRUCTURAL) if structural_only else None).collect()  # at most ``limit``
+    rows = [(i, path, float(cost), len(path) - 1) for i, (path, cost) in enumerate(traverse.diversify([(r.path, r.cost) for r in best]), 1)]
+    return c.graph.nodes.sparkSession.createDataFrame(rows, "rank int, path array<bigint>, cost double, hops int")
 
 
 def _split(c: Context, threshold: float = 0.25, min_size: int = 10, **_):
@@ -149,7 +159,7 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "minimal_context": _minimal,
     "status": _status,
     "search": lambda c, query="", limit=20, **_: search.ranked_search(c.graph, query, limit),
-    "paths": lambda c, target=None, source=None, max_hops=5, limit=10, **_: traverse.top_paths(c.graph, c.seed(source), c.seed(target), max_hops, limit).orderBy("rank"),
+    "paths": lambda c, **p: _paths(c, **{{"from": "source", "to": "target"}.get(k, k): v for k, v in p.items()}),
     "impact": lambda c, target, max_hops=4, limit=25, **_: c.named(traverse.impact(c.graph, c.seed(target), max_hops).drop("source")).orderBy(F.desc("score"), "distance", "qualified_name").limit(limit),
     "callers": lambda c, target, **_: c.named(traverse.callers_of(c.graph, c.seed(target)).select(F.col("caller").alias("id"))).orderBy("qualified_name"),
     "callees": lambda c, target, **_: c.named(traverse.callees_of(c.graph, c.seed(target)).select(F.col("callee").alias("id"))).orderBy("qualified_name"),

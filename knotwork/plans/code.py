@@ -9,7 +9,7 @@ from knotwork.graph import EDGE_COLUMNS, NODE_COLUMNS, PropertyGraph, graph_sql
 from knotwork.operators import communities as comm
 from knotwork.operators import enrich, flows, refactor, review, temporal
 from knotwork.plans.structure import G, graph
-from knotwork.session import read_table
+from knotwork.session import read_table, stage
 from knotwork.weights import AMBIGUOUS_COMMUNITY_WEIGHT, COMMUNITY, EDGE_WEIGHTS, NODE_WEIGHTS, SPECIFICITY, sql_case
 
 
@@ -97,6 +97,23 @@ def _detected(name):
     return run
 
 
+def _checked(name):
+    def run(spark, folder):
+        g = graph(spark, folder)
+        found = stage(comm.detect(g, name), "checked")
+        links = comm.weighted_links(g).select("a", "b")
+        pieces = comm.enforce_connected(found, links).withColumnRenamed("community", "piece")
+        one = found.join(pieces, "id").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("nodes"), F.sum((F.col("community") != F.col("piece")).cast("bigint")).alias("apart"))
+        lone = g.nodes.select("id").join(links.select(F.col("a").alias("id")), "id", "left_anti").join(found.where("id = community"), "id", "left_anti")
+        singles = g.nodes.select("id", F.col("id").alias("community"))
+        better = comm.modularity(g, found).select(F.col("modularity").alias("x")).crossJoin(comm.modularity(g, singles).select(F.col("modularity").alias("y")))  # one row each
+        return one.select("rows", "nodes", "apart", lone.agg(F.count("*")).scalar().alias("lone_elsewhere"), better.select(F.col("x") > F.col("y")).scalar().alias("better"))
+
+    run.__name__ = f"{name}_invariants"
+    run.__doc__ = f"Of {name}: every node once, communities connected and named by a member, lone nodes alone, better than single nodes."
+    return run
+
+
 def community_split(spark, folder):
     return comm.split_oversized(graph(spark, folder)).withColumnRenamed("id", "node_id")
 
@@ -183,7 +200,7 @@ def risk_score(spark, folder):
     return cover.select("qualified_name", F.round(score, 6).alias("risk_score"), review.risk_level(score).alias("risk"))
 
 
-QUERIES = {f.__name__: f for f in (large_functions, gaps, dead_code, rename_preview, confidence_mix, graph_summary, surprises, coupling, architecture, cohesion, conductance, community_quality, modularity, knowledge_gaps, _detected("louvain"), _detected("leiden"), _detected("infomap"), community_split, community_listing, entry_points, flow_trace, flow_criticality, affected_flows, tested_by, test_coverage, call_tiers, mentions_resolve, active_at, temporal_diff, hunk_to_nodes, risk_score)}
+QUERIES = {f.__name__: f for f in (large_functions, gaps, dead_code, rename_preview, confidence_mix, graph_summary, surprises, coupling, architecture, cohesion, conductance, community_quality, modularity, knowledge_gaps, _detected("louvain"), _detected("leiden"), _detected("infomap"), _checked("louvain"), _checked("leiden"), _checked("infomap"), community_split, community_listing, entry_points, flow_trace, flow_criticality, affected_flows, tested_by, test_coverage, call_tiers, mentions_resolve, active_at, temporal_diff, hunk_to_nodes, risk_score)}
 
 _D = "d AS (SELECT n.*, coalesce(i.c, 0) AS ind, coalesce(o.c, 0) AS outd, coalesce(i.c, 0) + coalesce(o.c, 0) AS deg FROM n LEFT JOIN (SELECT dst, count(*) AS c FROM e GROUP BY 1) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) AS c FROM e GROUP BY 1) o ON o.src = n.id)"
 _C = "c AS (SELECT id, regexp_extract(source_uri, '^([^/]*)/', 1) AS community FROM n WHERE source_uri IS NOT NULL)"
@@ -197,7 +214,9 @@ ent AS (SELECT id, name, coalesce(is_test, false) AS t FROM n WHERE kind IN ('fu
 cl AS (SELECT DISTINCT src AS a, dst AS b FROM e WHERE kind = 'calls' AND conf_class <> 'ambiguous' AND dst IN (SELECT id FROM n WHERE qualified_name NOT LIKE 'call::%')),
 wk(f, id, depth) AS (SELECT id, id, 0 FROM ent UNION SELECT f, b, depth + 1 FROM wk JOIN cl ON a = wk.id WHERE depth < 6),
 fi AS (SELECT dst AS id, count(*) AS k FROM e WHERE kind = 'calls' GROUP BY 1),
-mb AS (SELECT f, w.id, depth, coalesce(k, 0) AS k, row_number() OVER (PARTITION BY f ORDER BY 1.0 / (depth + 1) + least(0.5, coalesce(k, 0) / 10) DESC, w.id) AS r FROM (SELECT f, id, min(depth) AS depth FROM wk GROUP BY 1, 2) w LEFT JOIN fi ON fi.id = w.id),
+m0 AS (SELECT f, id, depth FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY depth, id) AS r FROM (SELECT f, id, min(depth) AS depth FROM wk GROUP BY 1, 2)) WHERE r <= 2000),
+ci AS (SELECT m.f, m.id, count(*) AS c FROM m0 m JOIN e ON e.dst = m.id AND e.kind = 'calls' JOIN m0 s ON s.f = m.f AND s.id = e.src GROUP BY 1, 2),
+mb AS (SELECT m0.f, m0.id, depth, coalesce(k, 0) AS k, row_number() OVER (PARTITION BY m0.f ORDER BY 1.0 / (depth + 1) + least(0.5, coalesce(c, 0) / 10) DESC, depth, m0.id) AS r FROM m0 LEFT JOIN fi ON fi.id = m0.id LEFT JOIN ci ON ci.f = m0.f AND ci.id = m0.id),
 fl AS (SELECT f AS flow_id, n.name AS entry_name, count(*) AS size, max(depth) AS depth, least(0.6, ln(count(*)) / 6) + least(0.25, avg(k) / 8)
   + CASE WHEN lower(n.name) IN ('main', '__main__') THEN 0.1 WHEN regexp_matches(lower(n.name), '^(handle|on_|serve)') THEN 0.05 ELSE 0 END - CASE WHEN coalesce(n.is_test, false) THEN 0.2 ELSE 0 END AS s, coalesce(n.is_test, false) AS is_test_flow
   FROM mb JOIN n ON n.id = f WHERE r <= 200 GROUP BY f, n.name, n.is_test HAVING count(*) >= 3)"""
@@ -263,7 +282,12 @@ SELECT edge_id, arg_min(candidate, tier) AS candidate, arg_min(tag, tier) AS res
 _WEIGHT = f"CASE WHEN conf_class = 'ambiguous' THEN {AMBIGUOUS_COMMUNITY_WEIGHT} ELSE {sql_case('kind', EDGE_WEIGHTS, COMMUNITY, 1)} END"
 _DOCS = ", ".join(f"'{x}'" for x in DOC_LANGUAGES)
 
+_INVARIANTS = f"WITH {G} SELECT count(*) AS rows, count(DISTINCT id) AS nodes, 0::BIGINT AS apart, 0::BIGINT AS lone_elsewhere, true AS better FROM n"
+
 ORACLES = {
+    "louvain_invariants": _INVARIANTS,
+    "leiden_invariants": _INVARIANTS,
+    "infomap_invariants": _INVARIANTS,
     "large_functions": f"WITH {G} SELECT qualified_name, kind, source_uri, {_SPAN} AS lines FROM n WHERE kind IN ('function', 'method', 'class', 'trait') AND {_SPAN} >= 40",
     "gaps": f"""WITH {G}, {_D} SELECT * FROM (SELECT qualified_name, CASE WHEN qualified_name LIKE 'call::%' THEN CASE WHEN ind > 0 THEN 'unresolved_call' END
         WHEN kind IN ('function', 'method', 'class', 'type', 'trait') THEN CASE WHEN deg = 0 THEN 'orphan_symbol' WHEN outd = 0 AND {_SPAN} > 40 THEN 'large_leaf' END END AS gap FROM d) WHERE gap IS NOT NULL""",

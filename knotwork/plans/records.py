@@ -47,9 +47,13 @@ def p3_found(spark, folder):
     return p3_history(spark, folder).select("qualified_name", "valid_from", "valid_to")
 
 
+#: Numbers of the first full snapshot and of the one that nodes is.
+FIRST, LATEST = 1, 4
+
+
 def p4_found(spark, folder):
-    snapshots = snapshot_diff.stack_snapshots(read_table(spark, folder, "node_snapshots"), read_table(spark, folder, "nodes"))
-    return snapshot_diff.snapshot_changes(snapshots)
+    snapshots = snapshot_diff.stack_snapshots(read_table(spark, folder, "node_snapshots"), read_table(spark, folder, "nodes"), LATEST)
+    return snapshot_diff.snapshot_changes(snapshots, FIRST, LATEST)
 
 
 def p4_summary(spark, folder):

@@ -62,17 +62,17 @@ def bfs_reach(spark, folder):
 
 def traverse_budget(spark, folder):
     g = graph(spark, folder)
-    return traverse.traverse(g, busy_seed(g), "both", 2, 1200).select("qualified_name", "kind", F.col("depth").cast("int").alias("depth"))
+    return traverse.traverse(g, busy_seed(g)).select("qualified_name", "kind", F.col("depth").cast("int").alias("depth"))
 
 
 def counterfactual(spark, folder):
     g = graph(spark, folder)
-    return traverse.counterfactual(g, busy_seed(g), "out", 3).join(g.nodes, "id").select("qualified_name", F.col("depth").cast("int").alias("depth"))
+    return traverse.counterfactual(g, busy_seed(g)).join(g.nodes, "id").select("qualified_name", F.col("depth").cast("int").alias("depth"))
 
 
 def impact(spark, folder):
     g = graph(spark, folder)
-    hits = traverse.impact(g, busy_seed(g), 2).join(g.nodes.select("id", "qualified_name"), "id")
+    hits = traverse.impact(g, busy_seed(g)).join(g.nodes.select("id", "qualified_name"), "id")
     return hits.select("qualified_name", F.round("score", 6).alias("score"), F.round("cost", 6).alias("cost"))
 
 
@@ -94,18 +94,18 @@ def top_paths(spark, folder):
 
 def pagerank(spark, folder):
     g = graph(spark, folder)
-    return centrality.pagerank(g, iterations=10).join(g.nodes, "id").select("qualified_name", F.round("rank", 6).alias("rank"))
+    return centrality.pagerank(g).join(g.nodes, "id").select("qualified_name", F.round("rank", 6).alias("rank"))
 
 
 def personalized_pagerank(spark, folder):
     g = graph(spark, folder)
-    r = centrality.pagerank(g, iterations=10, seeds=busy_seed(g).withColumn("weight", F.lit(1.0)))
+    r = centrality.pagerank(g, seeds=busy_seed(g).withColumn("weight", F.lit(1.0)))
     return r.join(g.nodes, "id").select("qualified_name", F.round("rank", 6).alias("rank"))
 
 
 def god_nodes(spark, folder):
     g = graph(spark, folder)
-    r = centrality.pagerank(g, iterations=10).join(centrality.without_rank_noise(g.nodes), "id")
+    r = centrality.pagerank(g).join(centrality.without_rank_noise(g.nodes), "id")
     return r.select("qualified_name", "kind", F.round("rank", 6).alias("score")).orderBy(F.desc("score"), "qualified_name").limit(10)
 
 
@@ -151,7 +151,7 @@ walk(path, tail, cost, hops) AS (SELECT [id], id, CAST(0 AS DOUBLE), 0 FROM seed
   SELECT list_append(path, dst), dst, cost + c, hops + 1 FROM walk JOIN step ON src = tail WHERE hops < 4 AND NOT list_contains(path, dst) {{stop}})"""
 
 
-def _rank_sql(teleport: str, rounds: int = 10) -> str:
+def _rank_sql(teleport: str, rounds: int = 50) -> str:
     steps = [f"w AS (SELECT src, dst, sum({sql_case('kind', EDGE_WEIGHTS, RANK, 1)} * greatest(confidence, 0.05)) AS w FROM e WHERE conf_class <> 'ambiguous' GROUP BY 1, 2)",
              "s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM w)", f"t AS (SELECT id, {teleport} AS teleport FROM n)",
              "r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM n) AS rank FROM n)"]
@@ -170,7 +170,22 @@ def _core_sql(rounds: int = 40) -> str:
     return f"WITH {G}, {_LINKS}, " + ", ".join(steps) + f" SELECT n.id AS node_id, coalesce(c, 0)::BIGINT AS core FROM n LEFT JOIN c{rounds} c USING (id)"
 
 
+def _betweenness_sql(levels: int = 40) -> str:
+    """Searches from the 64 least ids over more levels than the tables have, then shares from the deepest level upwards."""
+    steps = ["s64 AS (SELECT id AS s FROM n ORDER BY id LIMIT 64)", "fw AS MATERIALIZED (SELECT a, b FROM fwd WHERE a <> b)", "l0 AS MATERIALIZED (SELECT s, s AS id, 0 AS d FROM s64)", "v0 AS (SELECT * FROM l0)"]
+    for i in range(1, levels + 1):
+        steps.append(f"l{i} AS MATERIALIZED (SELECT DISTINCT s, b AS id, {i} AS d FROM l{i - 1} l JOIN fw ON a = l.id WHERE NOT EXISTS (SELECT 1 FROM v{i - 1} v WHERE v.s = l.s AND v.id = fw.b))")
+        steps.append(f"v{i} AS MATERIALIZED (SELECT * FROM v{i - 1} UNION ALL SELECT * FROM l{i})")
+    steps.append(f"g AS MATERIALIZED (SELECT x.s, x.id AS a, y.id AS b, y.d, count(*) OVER (PARTITION BY x.s, y.id) AS k FROM v{levels} x JOIN fw ON fw.a = x.id JOIN v{levels} y ON y.s = x.s AND y.id = fw.b AND y.d = x.d + 1)")
+    steps.append(f"f{levels} AS (SELECT s, a AS id, sum(1.0::DOUBLE / k) AS x FROM g WHERE d = {levels} GROUP BY 1, 2)")
+    for i in range(levels - 1, 0, -1):
+        steps.append(f"f{i} AS MATERIALIZED (SELECT g.s, g.a AS id, sum((1.0::DOUBLE + coalesce(f.x, 0)) / k) AS x FROM g LEFT JOIN f{i + 1} f ON f.s = g.s AND f.id = g.b WHERE g.d = {i} GROUP BY 1, 2)")
+    whole = " UNION ALL ".join(f"SELECT id, x FROM f{i} WHERE id <> s" for i in range(1, levels + 1))
+    return f"WITH {G}, {_LINKS}, " + ", ".join(steps) + f" SELECT id AS node_id, round(sum(x), 6) AS betweenness FROM ({whole}) GROUP BY 1"
+
+
 ORACLES = {
+    "betweenness_64": _betweenness_sql(),
     "degree_stats": f"WITH {G}, {_DEGREES} SELECT qualified_name, in_degree, out_degree, degree FROM d",
     "hub_nodes": f"WITH {G}, {_DEGREES} SELECT qualified_name, kind, in_degree, out_degree, degree FROM d WHERE degree > 0 AND kind <> 'file' ORDER BY degree DESC, qualified_name LIMIT 25",
     "callers": f"WITH {G} SELECT t.qualified_name AS target_name, s.qualified_name AS caller_name FROM e JOIN n s ON s.id = src JOIN n t ON t.id = dst WHERE e.kind = 'calls'",
@@ -178,21 +193,21 @@ ORACLES = {
     "call_resolution": f"WITH {G} SELECT sum((qualified_name NOT LIKE 'call::%')::BIGINT)::BIGINT AS resolved, sum((qualified_name LIKE 'call::%')::BIGINT)::BIGINT AS unresolved, avg((qualified_name NOT LIKE 'call::%')::INT) AS rate FROM e JOIN n ON n.id = dst WHERE e.kind = 'calls'",
     "graph_counts": f"WITH {G} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges",
     "bfs_reach": f"WITH RECURSIVE {G}, {SEED_SQL}, {_LINKS}, {_reach('hit', 'seed', 'fwd', 3)} SELECT qualified_name, depth FROM hit JOIN n USING (id)",
-    "traverse_budget": f"""WITH RECURSIVE {G}, {SEED_SQL}, {_LINKS}, {_reach('hit', 'seed', 'und', 2)},
+    "traverse_budget": f"""WITH RECURSIVE {G}, {SEED_SQL}, {_LINKS}, {_reach('hit', 'seed', 'und', 3)},
         priced AS (SELECT qualified_name, kind, depth, {_CARD} AS tokens FROM hit JOIN n USING (id)),
         summed AS (SELECT *, sum(tokens) OVER (ORDER BY depth, qualified_name) - tokens AS before FROM priced) SELECT qualified_name, kind, depth FROM summed WHERE before < 1200""",
     "counterfactual": f"""WITH RECURSIVE {G}, {SEED_SQL}, {_LINKS}, cut AS (SELECT a, b FROM fwd WHERE a NOT IN (SELECT id FROM seed)),
-        {_reach('hit', 'seed', 'fwd', 3)}, {_reach('aft', 'seed', 'cut', 3)} SELECT qualified_name, depth FROM hit JOIN n USING (id) WHERE id NOT IN (SELECT id FROM aft)""",
+        {_reach('hit', 'seed', 'fwd', 5)}, {_reach('aft', 'seed', 'cut', 5)} SELECT qualified_name, depth FROM hit JOIN n USING (id) WHERE id NOT IN (SELECT id FROM aft)""",
     "impact": f"""WITH RECURSIVE {G}, {SEED_SQL}, back AS (SELECT dst AS a, src AS b, min({sql_case('kind', EDGE_WEIGHTS, IMPACT, 1)} / least(greatest(confidence, 0.05), 1)) AS c FROM e WHERE src <> dst GROUP BY 1, 2),
-        h1 AS (SELECT b AS id, min(c) AS cost FROM back WHERE a IN (SELECT id FROM seed) GROUP BY 1), h2 AS (SELECT b.b AS id, min(h.cost + b.c) AS cost FROM h1 h JOIN back b ON b.a = h.id GROUP BY 1),
-        best AS (SELECT id, min(cost) AS cost FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) WHERE id NOT IN (SELECT id FROM seed) GROUP BY 1)
+        h1 AS (SELECT b AS id, min(c) AS cost FROM back WHERE a IN (SELECT id FROM seed) GROUP BY 1), {", ".join(f"h{i + 1} AS MATERIALIZED (SELECT b.b AS id, min(h.cost + b.c) AS cost FROM h{i} h JOIN back b ON b.a = h.id GROUP BY 1)" for i in (1, 2, 3))},
+        best AS (SELECT id, min(cost) AS cost FROM ({" UNION ALL ".join(f"SELECT * FROM h{i}" for i in (1, 2, 3, 4))}) WHERE id NOT IN (SELECT id FROM seed) GROUP BY 1)
         SELECT qualified_name, round({sql_case('kind', NODE_WEIGHTS, BOOST, 0.7)} / (1 + cost), 6) AS score, round(cost, 6) AS cost FROM best JOIN n USING (id)""",
     "simple_paths": f"WITH RECURSIVE {G}, {SEED_SQL}, {_ENDS}, {_PATHS.format(stop='')} SELECT array_to_string(path, '>') AS path, round(cost, 6) AS cost, hops FROM walk JOIN ends ON tail = z WHERE hops > 0",
     "top_paths": f"""WITH RECURSIVE {G}, {SEED_SQL}, {_ENDS}, {_PATHS.format(stop='AND tail NOT IN (SELECT z FROM ends)')}
         SELECT round(cost, 6) AS cost, array_to_string(path, '>') AS path FROM walk JOIN ends ON tail = z WHERE hops > 0 ORDER BY walk.cost, hops, walk.path LIMIT 10""",
-    "pagerank": f"{_rank_sql('1.0 / (SELECT count(*) FROM n)')} SELECT qualified_name, round(rank, 6) AS rank FROM r10 JOIN n USING (id)",
-    "personalized_pagerank": f"{_rank_sql('CASE WHEN id IN (SELECT id FROM seed) THEN 1.0 ELSE 0.0 END')} SELECT qualified_name, round(rank, 6) AS rank FROM r10 JOIN n USING (id)",
-    "god_nodes": f"""{_rank_sql('1.0 / (SELECT count(*) FROM n)')} SELECT qualified_name, kind, round(rank, 6) AS score FROM r10 JOIN n USING (id)
+    "pagerank": f"{_rank_sql('1.0 / (SELECT count(*) FROM n)')} SELECT qualified_name, round(rank, 6) AS rank FROM r50 JOIN n USING (id)",
+    "personalized_pagerank": f"{_rank_sql('CASE WHEN id IN (SELECT id FROM seed) THEN 1.0 ELSE 0.0 END')} SELECT qualified_name, round(rank, 6) AS rank FROM r50 JOIN n USING (id)",
+    "god_nodes": f"""{_rank_sql('1.0 / (SELECT count(*) FROM n)')} SELECT qualified_name, kind, round(rank, 6) AS score FROM r50 JOIN n USING (id)
         WHERE kind NOT IN ('file', 'flow', 'hyperedge') AND qualified_name NOT LIKE 'call::%' ORDER BY score DESC, qualified_name LIMIT 10""",
     "cycles": f"""WITH RECURSIVE {G}, {_LINKS}, t1 AS (SELECT * FROM fwd WHERE a <> b AND a IN (SELECT b FROM fwd) AND b IN (SELECT a FROM fwd)),
         t2 AS (SELECT * FROM t1 WHERE a IN (SELECT b FROM t1) AND b IN (SELECT a FROM t1)), t3 AS (SELECT * FROM t2 WHERE a IN (SELECT b FROM t2) AND b IN (SELECT a FROM t2)),

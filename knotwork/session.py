@@ -42,6 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a staged frame that nothing will read again; other frames are left alone."""
+    path = getattr(df, "_staged", None)
+    if path:
+        spark = df.sparkSession
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -53,4 +62,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out

@@ -13,9 +13,14 @@ from dataclasses import dataclass, field
 from knotwork.functions.names import TEST_NAME, TEST_PATH
 from knotwork.sources.registry import Language
 
-#: Names of builtins and control words whose calls say nothing about a project.
-SUPPRESSED = frozenset(
-    "if for while switch match return catch print println printf format len str int float bool list dict set tuple range enumerate zip map filter any all sum min max abs sorted open isinstance super getattr setattr hasattr type repr vec some none ok err box rc arc string assert assert_eq assert_ne panic unwrap expect clone into from to_string iter collect push pop insert get require console log sizeof malloc free".split())
+#: Names of builtins and control words whose calls say nothing about a project: a list of our own.
+SUPPRESSED = frozenset({
+    "if", "for", "while", "switch", "match", "return", "catch", "print", "println", "printf", "format", "len", "str", "int", "float", "bool", "list",
+    "dict", "set", "tuple", "range", "enumerate", "zip", "map", "filter", "any", "all", "sum", "min", "max", "abs", "sorted", "open", "isinstance",
+    "super", "getattr", "setattr", "hasattr", "type", "repr", "vec", "some", "none", "ok", "err", "box", "rc", "arc", "string", "assert", "assert_eq",
+    "assert_ne", "panic", "unwrap", "expect", "clone", "into", "from", "to_string", "iter", "collect", "push", "pop", "insert", "get", "require",
+    "console", "log", "sizeof", "malloc", "free",
+})
 _TEST_PATH, _TEST_NAME = re.compile(TEST_PATH), re.compile(TEST_NAME)
 
 

@@ -86,11 +86,15 @@ class Store:
         self.append("edge_archive", close(graph.edges))
 
     def delete_sources(self, sources: DataFrame) -> None:
-        """Drop the nodes of the sources, their edges, embeddings and file hashes."""
+        """Drop the nodes of the sources, their edges, embeddings, entries of the text index and file hashes."""
         g = self.load()
         gone = g.nodes.join(sources.select("source_uri").distinct(), "source_uri", "left_semi").select("id")
         if self.exists("embeddings"):
             self.write("embeddings", self.read("embeddings").join(gone.withColumnRenamed("id", "node_id"), "node_id", "left_anti"))
+        for t in ("postings", "lengths"):
+            if self.exists(t):
+                rows = self.read(t)
+                self.write(t, rows.join(gone, "id", "left_anti").select(*rows.columns))
         if self.exists("file_state"):
             self.write("file_state", self.read("file_state").join(sources.select(F.col("source_uri").alias("path")), "path", "left_anti").select("path", "hash", "indexed_at"))
         left = g.remove_nodes(gone)

@@ -14,15 +14,15 @@ from knotwork.sources.extract import assemble, build, extract_rows
 from knotwork.sources.store import Store
 
 
-def full_build(store: Store, files: DataFrame, commit: str, now: int | None = None) -> PropertyGraph:
+def full_build(store: Store, files: DataFrame, commit: str, now: int | None = None, overlay: str | None = None) -> PropertyGraph:
     """Build from all files (path, content, hash) and store the graph and the hashes."""
     files = stage(files, "files")
-    store.save(build(files, commit))
+    store.save(build(files, commit, overlay=overlay))
     store.set_hashes(files, now if now is not None else int(time.time()))
     return store.load()
 
 
-def incremental_update(store: Store, files: DataFrame, commit: str, now: int | None = None) -> DataFrame:
+def incremental_update(store: Store, files: DataFrame, commit: str, now: int | None = None, overlay: str | None = None) -> DataFrame:
     """(path, change) after bringing the stored graph to the state of all current files (path, content, hash).
 
     Rows of changed and deleted files are archived as closed at the commit; the changed and new files are
@@ -41,7 +41,7 @@ def incremental_update(store: Store, files: DataFrame, commit: str, now: int | N
     nodes = old.nodes.join(gone.select("id"), "id", "left_anti").select(*old.nodes.columns)
     # edges out of the touched files go; edges into them wait for the new rows
     edges = old.edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").select(*old.edges.columns)
-    fresh = assemble(extract_rows(files.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")))
+    fresh = assemble(extract_rows(files.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi"), overlay))
     known = nodes.select("qualified_name")
     new_nodes = fresh.nodes.join(known, "qualified_name", "left_anti")
     new_nodes = enrich.stamp_birth(new_nodes.select(*old.nodes.columns), commit, gone)
@@ -55,7 +55,7 @@ def incremental_update(store: Store, files: DataFrame, commit: str, now: int | N
     kept = stage(e, "kept-edges")
     types = dict(all_nodes.dtypes)
     names = kept.where("open is not null").select("open").distinct()
-    values = {"id": ident("open"), "kind": F.lit("function"), "name": F.substring("open", 7, 10_000), "qualified_name": F.col("open"), "is_test": F.lit(False), "valid_from": F.lit(commit)}
+    values = {"id": ident("open"), "kind": F.lit("function"), "name": F.substr("open", F.lit(7)), "qualified_name": F.col("open"), "is_test": F.lit(False), "valid_from": F.lit(commit)}
     holes = names.select(*[values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in all_nodes.columns])
     holes = holes.join(all_nodes.select("id"), "id", "left_anti").select(*all_nodes.columns)
     stamped = enrich.stamp_birth(fresh.edges.select(*old.edges.columns), commit, old.edges.select("edge_id", "valid_from"), "edge_id")

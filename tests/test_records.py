@@ -174,5 +174,5 @@ def test_snapshot_changes(spark, seed):
             elif new and old and new[2:] != old[2:]:
                 want.add((no, name, "changed"))
     df = spark.createDataFrame(rows, SNAPS)
-    assert {tuple(r) for r in snapshot_changes(df).collect()} == want and want
-    assert snapshot_changes(df.limit(0)).count() == 0
+    assert {tuple(r) for r in snapshot_changes(df, 1, 4).collect()} == want and want
+    assert snapshot_changes(df.limit(0), 1, 4).count() == 0
