@@ -422,12 +422,12 @@ def _summed(ids: DataFrame, total: DataFrame) -> DataFrame:
 def bridge_scores(graph: PropertyGraph, communities: DataFrame, sources: int = 64) -> DataFrame:
     """(id, score, communities_touched, degree, betweenness, articulation), score > 0.
 
-    3 x other communities among the neighbours + degree + sqrt(betweenness) + 12 if a cut point.
+    3 x communities among the neighbours + degree + sqrt(betweenness) + 12 if a cut point.
     communities has (id, community).
     """
     c = communities.select("id", "community")
-    touched = graph.undirected().join(c.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
-    touched = touched.where("ca <> cb").groupBy(F.col("a").alias("id")).agg(F.countDistinct("cb").alias("communities_touched"))
+    ends = graph.edges.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("p")).select("p.*").distinct()
+    touched = ends.join(c.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id")).agg(F.countDistinct("community").alias("communities_touched"))
     cut = articulation_points(graph).withColumn("articulation", F.lit(True))
     j = graph.degrees().select("id", "degree").join(touched, "id", "left").join(approx_betweenness(graph, sources), "id", "left").join(cut, "id", "left")
     j = j.na.fill(0, ["communities_touched", "betweenness"]).withColumn("articulation", F.coalesce("articulation", F.lit(False)))

@@ -192,6 +192,13 @@ def hunk_to_nodes(spark, folder):
     return review.nodes_of_hunks(g.nodes, hunks).select("path", "new_start", F.col("id").alias("node_id"), "specificity")
 
 
+def changed_ranges(spark, folder):
+    """Names at the hunks of hunk_to_nodes, whose paths come with a folder before them."""
+    g = graph(spark, folder)
+    hunks = g.nodes.where("kind = 'class' and source_uri is not null and line_start is not null").select(F.concat(F.lit("work/"), "source_uri").alias("path"), F.col("line_start").alias("new_start"), F.lit(5).alias("new_count")).distinct()
+    return review.changed_ranges(g.nodes, hunks).select("path", "new_start", F.array_join("symbols", "|").alias("symbols"))
+
+
 def risk_score(spark, folder):
     """Risk of changing each function or method alone: its degree, missing test and callers."""
     g = graph(spark, folder)
@@ -200,7 +207,7 @@ def risk_score(spark, folder):
     return cover.select("qualified_name", F.round(score, 6).alias("risk_score"), review.risk_level(score).alias("risk"))
 
 
-QUERIES = {f.__name__: f for f in (large_functions, gaps, dead_code, rename_preview, confidence_mix, graph_summary, surprises, coupling, architecture, cohesion, conductance, community_quality, modularity, knowledge_gaps, _detected("louvain"), _detected("leiden"), _detected("infomap"), _checked("louvain"), _checked("leiden"), _checked("infomap"), community_split, community_listing, entry_points, flow_trace, flow_criticality, affected_flows, tested_by, test_coverage, call_tiers, mentions_resolve, active_at, temporal_diff, hunk_to_nodes, risk_score)}
+QUERIES = {f.__name__: f for f in (large_functions, gaps, dead_code, rename_preview, confidence_mix, graph_summary, surprises, coupling, architecture, cohesion, conductance, community_quality, modularity, knowledge_gaps, _detected("louvain"), _detected("leiden"), _detected("infomap"), _checked("louvain"), _checked("leiden"), _checked("infomap"), community_split, community_listing, entry_points, flow_trace, flow_criticality, affected_flows, tested_by, test_coverage, call_tiers, mentions_resolve, active_at, temporal_diff, hunk_to_nodes, changed_ranges, risk_score)}
 
 _D = "d AS (SELECT n.*, coalesce(i.c, 0) AS ind, coalesce(o.c, 0) AS outd, coalesce(i.c, 0) + coalesce(o.c, 0) AS deg FROM n LEFT JOIN (SELECT dst, count(*) AS c FROM e GROUP BY 1) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) AS c FROM e GROUP BY 1) o ON o.src = n.id)"
 _C = "c AS (SELECT id, regexp_extract(source_uri, '^([^/]*)/', 1) AS community FROM n WHERE source_uri IS NOT NULL)"
@@ -341,6 +348,10 @@ ORACLES = {
     "hunk_to_nodes": f"""WITH {G}, h AS (SELECT DISTINCT source_uri AS path, line_start AS s, line_start + 4 AS z FROM n WHERE kind = 'class' AND source_uri IS NOT NULL AND line_start IS NOT NULL),
         j AS (SELECT path, s, n.id, {sql_case('kind', NODE_WEIGHTS, SPECIFICITY, 2)} AS sp FROM h JOIN n ON (source_uri = path OR ends_with(source_uri, path) OR ends_with(path, source_uri)) AND line_start <= z AND greatest(coalesce(line_end, line_start), line_start) >= s),
         b AS (SELECT *, max(sp) OVER (PARTITION BY path, s) AS best FROM j) SELECT path, s AS new_start, id AS node_id, sp::INT AS specificity FROM b WHERE sp > 1 OR best <= 1""",
+    "changed_ranges": f"""WITH {G}, h AS (SELECT DISTINCT 'work/' || source_uri AS path, line_start AS s, line_start + 4 AS z FROM n WHERE kind = 'class' AND source_uri IS NOT NULL AND line_start IS NOT NULL),
+        j AS (SELECT path, s, n.id, n.qualified_name, greatest(coalesce(line_end, line_start), line_start) - line_start AS w, {sql_case('kind', NODE_WEIGHTS, SPECIFICITY, 2)} AS sp FROM h JOIN n ON (source_uri = path OR ends_with(source_uri, path) OR ends_with(path, source_uri)) AND line_start <= z AND greatest(coalesce(line_end, line_start), line_start) >= s),
+        b AS (SELECT *, max(sp) OVER (PARTITION BY path, s) AS best FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY path, s ORDER BY sp DESC, w, id) AS r FROM b WHERE sp > 1 OR best <= 1)
+        SELECT path, s AS new_start, string_agg(qualified_name, '|' ORDER BY r) AS symbols FROM r WHERE r <= 20 GROUP BY 1, 2""",
     "risk_score": f"""WITH {G}, {_D}, r AS (SELECT qualified_name, least(100, 0.8 + 1.2 * ind + 0.25 * deg + CASE WHEN id IN (SELECT src FROM e WHERE kind = 'tested_by') THEN 0 ELSE 2.5 END) AS s FROM d WHERE kind IN ('function', 'method') AND NOT coalesce(is_test, false))
         SELECT qualified_name, round(s, 6) AS risk_score, CASE WHEN s >= 35 THEN 'high' WHEN s >= 12 THEN 'medium' ELSE 'low' END AS risk FROM r""",
 }

@@ -39,6 +39,11 @@ def p2_report(spark, folder):
     return references.orphan_report(*_graph(spark, folder))
 
 
+def p2_classes(spark, folder):
+    """Every reference that doesn't hold, also those to nodes that had ended before."""
+    return references.classify_references(*_graph(spark, folder)).select("edge_id", "side", "status").distinct()
+
+
 def p3_history(spark, folder):
     return history.attribute_history(read_table(spark, folder, "node_versions"), read_table(spark, folder, "commits"))
 
@@ -51,6 +56,10 @@ def p3_found(spark, folder):
 FIRST, LATEST = 1, 4
 
 
+def p3_spans(spark, folder):
+    return p3_history(spark, folder).drop("properties")
+
+
 def p4_found(spark, folder):
     snapshots = snapshot_diff.stack_snapshots(read_table(spark, folder, "node_snapshots"), read_table(spark, folder, "nodes"), LATEST)
     return snapshot_diff.snapshot_changes(snapshots, FIRST, LATEST)
@@ -60,7 +69,7 @@ def p4_summary(spark, folder):
     return p4_found(spark, folder).groupBy("snap_no", "change").agg(F.count("*").alias("n_names"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_counts, p2_found, p2_report, p3_found, p3_history, p4_found, p4_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_counts, p2_found, p2_report, p2_classes, p3_found, p3_history, p3_spans, p4_found, p4_summary)}
 
 _KEYS = """
 keys AS (
@@ -73,9 +82,10 @@ refs AS (
   SELECT edge_id, 'src' AS side, src_id AS k, valid_from, ingested_at FROM edges WHERE src_id IS NOT NULL
   UNION ALL SELECT edge_id, 'dst', dst_id, valid_from, ingested_at FROM edges WHERE dst_id IS NOT NULL
 ), born AS (
-  SELECT id, max(coalesce(c.ord, -1)) AS b FROM nodes n LEFT JOIN commits c ON c.sha = n.valid_from GROUP BY id
+  SELECT id, max(coalesce(c.ord, -1)) AS b, CASE WHEN count(d.ord) = count(*) THEN max(d.ord) END AS g
+  FROM nodes n LEFT JOIN commits c ON c.sha = n.valid_from LEFT JOIN commits d ON d.sha = n.valid_to GROUP BY id
 ), bad AS (
-  SELECT r.*, CASE WHEN b.id IS NULL THEN 'missing' WHEN b.b > c.ord THEN 'late' END AS status
+  SELECT r.*, CASE WHEN b.id IS NULL THEN 'missing' WHEN b.b > c.ord THEN 'late' END AS status, CASE WHEN b.g < c.ord THEN 'deleted' END AS ended
   FROM refs r LEFT JOIN born b ON b.id = r.k LEFT JOIN commits c ON c.sha = r.valid_from
 )"""
 
@@ -92,7 +102,7 @@ recs AS (
   SELECT *, CASE WHEN lag(c) OVER w = c AND NOT lag(t) OVER w + 1 < s THEN 0 ELSE 1 END AS b FROM held WINDOW w AS (PARTITION BY q ORDER BY s)
 ), islands AS (SELECT *, sum(b) OVER (PARTITION BY q ORDER BY s) AS g FROM broken),
 spans AS (SELECT q, min(s) AS f, arg_max(coalesce(t, -1), s) AS t FROM islands GROUP BY q, g)
-SELECT q AS qualified_name, a.sha AS valid_from, coalesce(z.sha, '') AS valid_to
+SELECT q AS qualified_name, {ordinals} a.sha AS valid_from, coalesce(z.sha, '') AS valid_to
 FROM spans JOIN commits a ON a.ord = f LEFT JOIN commits z ON z.ord = t"""
 
 _CHANGES = """
@@ -116,9 +126,11 @@ ORACLES = {
     "p1_key_counts": f"WITH {_KEYS} SELECT side, node_id, kind, count(*) AS n_rows, count(DISTINCT edge_id) AS n_edges FROM keys GROUP BY ALL",
     "p1_found": f"WITH {_KEYS} SELECT side, node_id FROM keys GROUP BY ALL HAVING count(*) >= 0.01 * (SELECT count(*) FROM edges)",
     "p2_found": f"WITH {_ORPHANS} SELECT DISTINCT edge_id, side FROM bad WHERE status IS NOT NULL",
+    "p2_classes": f"WITH {_ORPHANS} SELECT DISTINCT edge_id, side, coalesce(status, ended) AS status FROM bad WHERE coalesce(status, ended) IS NOT NULL",
     "p2_report": f"""WITH {_ORPHANS} SELECT side, CAST(date_trunc('month', ingested_at) AS DATE) AS month, status, count(*) AS n_rows,
         count(DISTINCT edge_id) AS n_edges FROM bad WHERE status IS NOT NULL GROUP BY ALL""",
-    "p3_found": f"WITH {CANONICAL_SQL.format(table='node_versions')}, {_HISTORY}",
+    "p3_found": f"WITH {CANONICAL_SQL.format(table='node_versions')}, {_HISTORY.format(ordinals='')}",
+    "p3_spans": f"WITH {CANONICAL_SQL.format(table='node_versions')}, {_HISTORY.format(ordinals='f AS from_ord, nullif(t, -1) AS to_ord,')}",
     "p4_found": f"WITH {CANONICAL_SQL.format(table=_BOTH)}, {_CHANGES} SELECT snap_no, qualified_name, change FROM changes",
     "p4_summary": f"WITH {CANONICAL_SQL.format(table=_BOTH)}, {_CHANGES} SELECT snap_no, change, count(*) AS n_names FROM changes GROUP BY ALL",
 }

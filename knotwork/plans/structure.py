@@ -130,7 +130,23 @@ def betweenness_64(spark, folder):
     return b.where("betweenness > 0").select(F.col("id").alias("node_id"), F.round("betweenness", 6).alias("betweenness"))
 
 
-QUERIES = {f.__name__: f for f in (degree_stats, hub_nodes, callers, callees, call_resolution, graph_counts, bfs_reach, traverse_budget, counterfactual, impact, simple_paths, top_paths, pagerank, personalized_pagerank, god_nodes, components, cycles, k_core, articulation, betweenness_64)}
+def bridge_nodes(spark, folder):
+    """Bridge scores over the top folders as communities."""
+    g = graph(spark, folder)
+    folders = g.nodes.where("source_uri is not null").select("id", F.regexp_extract("source_uri", "^([^/]*)/", 1).alias("community"))
+    b = structure.bridge_scores(g, folders)
+    return b.select(F.col("id").alias("node_id"), F.round("score", 4).alias("score"), "communities_touched", "degree", F.round("betweenness", 6).alias("betweenness"), F.col("articulation").alias("is_cut"))
+
+
+def diverse_paths(spark, folder):
+    """The cheapest paths from the busiest function to methods, each after the first dearer by what it shares with those before."""
+    g = graph(spark, folder)
+    best = traverse.top_paths(g, busy_seed(g), g.nodes.where("kind = 'method'").select("id")).collect()  # ten paths
+    rows = [(i, ">".join(map(str, path)), round(cost, 6)) for i, (path, cost) in enumerate(traverse.diversify([(r.path, r.cost) for r in best]), 1)]
+    return spark.createDataFrame(rows, "rank int, path string, cost double")
+
+
+QUERIES = {f.__name__: f for f in (degree_stats, hub_nodes, callers, callees, call_resolution, graph_counts, bfs_reach, traverse_budget, counterfactual, impact, simple_paths, top_paths, pagerank, personalized_pagerank, god_nodes, components, cycles, k_core, articulation, betweenness_64, bridge_nodes, diverse_paths)}
 
 _DEGREES = """
 d AS (SELECT n.id, n.qualified_name, n.kind, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) + coalesce(o.c, 0) AS degree FROM n
@@ -170,7 +186,7 @@ def _core_sql(rounds: int = 40) -> str:
     return f"WITH {G}, {_LINKS}, " + ", ".join(steps) + f" SELECT n.id AS node_id, coalesce(c, 0)::BIGINT AS core FROM n LEFT JOIN c{rounds} c USING (id)"
 
 
-def _betweenness_sql(levels: int = 40) -> str:
+def _betweenness_sql(value: str = "round(sum(x), 6)", levels: int = 40) -> str:
     """Searches from the 64 least ids over more levels than the tables have, then shares from the deepest level upwards."""
     steps = ["s64 AS (SELECT id AS s FROM n ORDER BY id LIMIT 64)", "fw AS MATERIALIZED (SELECT a, b FROM fwd WHERE a <> b)", "l0 AS MATERIALIZED (SELECT s, s AS id, 0 AS d FROM s64)", "v0 AS (SELECT * FROM l0)"]
     for i in range(1, levels + 1):
@@ -181,11 +197,21 @@ def _betweenness_sql(levels: int = 40) -> str:
     for i in range(levels - 1, 0, -1):
         steps.append(f"f{i} AS MATERIALIZED (SELECT g.s, g.a AS id, sum((1.0::DOUBLE + coalesce(f.x, 0)) / k) AS x FROM g LEFT JOIN f{i + 1} f ON f.s = g.s AND f.id = g.b WHERE g.d = {i} GROUP BY 1, 2)")
     whole = " UNION ALL ".join(f"SELECT id, x FROM f{i} WHERE id <> s" for i in range(1, levels + 1))
-    return f"WITH {G}, {_LINKS}, " + ", ".join(steps) + f" SELECT id AS node_id, round(sum(x), 6) AS betweenness FROM ({whole}) GROUP BY 1"
+    return f"WITH {G}, {_LINKS}, " + ", ".join(steps) + f" SELECT id AS node_id, {value} AS betweenness FROM ({whole}) GROUP BY 1"
+
 
+#: What each node's least neighbour reaches without the node; a neighbour it doesn't reach makes the node a cut point.
+_CUTS = """
+p AS MATERIALIZED (SELECT a, b FROM und WHERE a <> b), r(v, id) AS (SELECT a, min(b) FROM p GROUP BY 1 HAVING count(*) > 1 UNION SELECT r.v, p.b FROM r JOIN p ON p.a = r.id WHERE p.b <> r.v),
+cut AS MATERIALIZED (SELECT DISTINCT p.a AS id FROM p WHERE p.a IN (SELECT v FROM r) AND NOT EXISTS (SELECT 1 FROM r WHERE r.v = p.a AND r.id = p.b))"""
 
 ORACLES = {
     "betweenness_64": _betweenness_sql(),
+    "articulation": f"WITH RECURSIVE {G}, {_LINKS}, {_CUTS} SELECT id AS node_id FROM cut",
+    "bridge_nodes": f"""WITH RECURSIVE {G}, {_LINKS}, {_DEGREES}, {_CUTS}, bw AS ({_betweenness_sql("sum(x)")}), fo AS (SELECT id, regexp_extract(source_uri, '^([^/]*)/', 1) AS c FROM n WHERE source_uri IS NOT NULL),
+        tc AS (SELECT a AS id, count(DISTINCT c) AS k FROM und JOIN fo ON fo.id = und.b GROUP BY 1),
+        j AS (SELECT d.id, coalesce(k, 0) AS k, d.degree, coalesce(betweenness, 0) AS w, d.id IN (SELECT id FROM cut) AS is_cut FROM d LEFT JOIN tc USING (id) LEFT JOIN bw ON bw.node_id = d.id)
+        SELECT id AS node_id, round(3.0 * k + degree + sqrt(w) + CASE WHEN is_cut THEN 12 ELSE 0 END, 4) AS score, k AS communities_touched, degree, round(w, 6) AS betweenness, is_cut FROM j WHERE k + degree + w > 0 OR is_cut""",
     "degree_stats": f"WITH {G}, {_DEGREES} SELECT qualified_name, in_degree, out_degree, degree FROM d",
     "hub_nodes": f"WITH {G}, {_DEGREES} SELECT qualified_name, kind, in_degree, out_degree, degree FROM d WHERE degree > 0 AND kind <> 'file' ORDER BY degree DESC, qualified_name LIMIT 25",
     "callers": f"WITH {G} SELECT t.qualified_name AS target_name, s.qualified_name AS caller_name FROM e JOIN n s ON s.id = src JOIN n t ON t.id = dst WHERE e.kind = 'calls'",

@@ -143,12 +143,20 @@ def motif_diamond(spark, folder):
     return motifs.find_motifs(graph(spark, folder), m)
 
 
+def _built_in(name):
+    def run(spark, folder):
+        return motifs.find_motifs(graph(spark, folder), motifs.BUILT_IN[name])
+
+    run.__name__ = f"motif_{name}"
+    return run
+
+
 def motif_triangle(spark, folder):
     m = motifs.Motif().node(0, min_degree=5).node(1).node(2).edge(0, 1, "calls").edge(1, 2, "calls").edge(0, 2, "calls")
     return motifs.find_motifs(graph(spark, folder), m)
 
 
-QUERIES = {f.__name__: f for f in (identifier_words, test_detection, ranked_search, fuzzy_search, bm25_search, index_terms, vector_topk, related, rrf_fusion, source_saturation, hybrid_search, embed_nodes, label_normalize, entropy_gate, jaro_winkler_pairs, lsh_pairs, dedup_components, dedup_graph, motif_pair, motif_security, motif_diamond, motif_triangle)}
+QUERIES = {f.__name__: f for f in (identifier_words, test_detection, ranked_search, fuzzy_search, bm25_search, index_terms, vector_topk, related, rrf_fusion, source_saturation, hybrid_search, embed_nodes, label_normalize, entropy_gate, jaro_winkler_pairs, lsh_pairs, dedup_components, dedup_graph, motif_pair, motif_security, motif_diamond, motif_triangle, *map(_built_in, motifs.BUILT_IN))}
 
 _D = "d AS (SELECT n.id, n.source_uri, coalesce(i.c, 0) AS ind, coalesce(o.c, 0) AS outd, coalesce(i.c, 0) + coalesce(o.c, 0) AS deg FROM n LEFT JOIN (SELECT dst, count(*) AS c FROM e GROUP BY 1) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) AS c FROM e GROUP BY 1) o ON o.src = n.id)"
 _KINDS = ", ".join(f"'{k}'" for k in dedup.KINDS)
@@ -193,5 +201,8 @@ ORACLES = {
     "motif_pair": _pattern({"a": "@kind = 'method'", "b": "@kind = 'class'"}, [("a", "b", "calls")]),
     "motif_security": _pattern({"a": "@kind = 'function' AND contains(lower(@name), 'load')".replace("@name", "a.name"), "b": "@kind = 'function'"}, [("a", "b", "calls")]),
     "motif_diamond": _pattern({"a": "@kind = 'function'", "b": "", "c": "", "z": ""}, [("a", "b", "calls"), ("a", "c", "calls"), ("b", "z", "calls"), ("c", "z", "calls")]),
+    "motif_security_audit": _pattern({"a": "@kind = 'function' AND contains(lower(a.name), 'sql')", "b": "@kind = 'function'"}, [("a", "b", "calls")]),
+    "motif_diamond_inheritance": _pattern({x: "@kind = 'class'" for x in "abcz"}, [("a", "b", "inherits"), ("a", "c", "inherits"), ("b", "z", "inherits"), ("c", "z", "inherits")]),
+    "motif_doc_triangle": _pattern({"a": "@kind = 'document'", "b": "@kind = 'section'", "c": "@kind = 'function'"}, [("a", "b", "defines"), ("b", "c", "mentions"), ("a", "c", "describes")]),
     "motif_triangle": _pattern({"x": "@deg >= 5", "y": "", "z": ""}, [("x", "y", "calls"), ("y", "z", "calls"), ("x", "z", "calls")]),
 }
