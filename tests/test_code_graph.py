@@ -68,6 +68,15 @@ def test_quality_of_dense_pairs(spark):
     assert comm.split_oversized(g, 0.1, 1).count() == 4
 
 
+def test_a_large_flow_keeps_its_entry_and_counts_calls_within(spark):
+    """250 callees, each called by five outsiders: these calls say nothing about the flow. Callee 250 is called by ten siblings."""
+    calls = [(0, i, "calls") for i in range(1, 251)] + [(1000 + k, i, "calls") for k in range(5) for i in range(1, 251)] + [(i, 250, "calls") for i in range(1, 11)]
+    g = make(spark, [(i, "function", "main" if i == 0 else f"f{i}") for i in [*range(251), *range(1000, 1005)]], calls)
+    entry = g.nodes.where("id = 0").select("id")
+    got = {r.node_id: r.depth for r in flows.trace(g, entries=entry).collect()}
+    assert len(got) == 200 and got[0] == 0 and 250 in got and set(got) == {0, 250, *range(1, 199)}
+
+
 def test_flows(spark):
     chain = [(i, "function", n) for i, n in enumerate(["main", "b", "c", "d", "e", "f", "g", "h"])]
     g = make(spark, [*chain, (20, "function", "test_main", {"is_test": True}), (30, "function", "x", {"qualified_name": "call::x"})],
@@ -129,6 +138,16 @@ def test_aliases(spark):
     assert {r["import"]: r.path for r in enrich.alias_targets(i, a, f).collect()} == {"@/lib/x": "web/src/lib/x.ts", "@/lib/y": "root/lib/y/index.ts", "~cfg": "web/src/config.ts"}
 
 
+def test_an_alias_configuration_counts_for_its_own_folder_only(spark):
+    """``pkg/a`` is no folder above ``pkg/ab/y.ts``; a pattern without a star, and the nearest of two configurations."""
+    i = spark.createDataFrame([("@/x", "pkg/ab/y.ts"), ("@/x", "pkg/a/deep/z.ts"), ("@/x", "pkg/a/own/z.ts")], "import string, importer string")
+    a = spark.createDataFrame([("pkg/a", "@/*", "src/*"), ("pkg/a/own/", "@/*", "lib/*")], "config_dir string, pattern string, target string")
+    f = spark.createDataFrame([("pkg/a/src/x.ts",), ("pkg/a/own/lib/x.ts",)], "path string")
+    found = enrich.alias_targets(i, a, f)
+    assert {r.importer: r.path for r in found.collect()} == {"pkg/a/deep/z.ts": "pkg/a/src/x.ts", "pkg/a/own/z.ts": "pkg/a/own/lib/x.ts"}
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
 def test_validity_windows(spark):
     commits = spark.createDataFrame([(f"c{i}", i) for i in range(1, 4)], "sha string, ord int")
     g = make(spark, [(1, "function", "old", {"valid_from": "c1", "valid_to": "c2"}), (2, "function", "new", {"valid_from": "c3"}), (3, "function", "ever"), (4, "function", "odd", {"valid_from": "zz"})], [(1, 3, "calls", {"valid_from": "c1", "valid_to": "c1"})])

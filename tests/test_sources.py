@@ -224,8 +224,10 @@ def test_store_and_update(spark, tmp_path):
     assert closed["file::c.py::old"] == ("c1", "c2") and store.has_history()
     assert "file::c.py::old" in {r.qualified_name for r in store.load_temporal().nodes.collect()}
     assert store.of_sources(spark.createDataFrame([("b.py",)], "source_uri string")).edges.count() == 3
+    store.rebuild_index()
+    assert store.search_text("caller").count() == 1
     store.delete_sources(spark.createDataFrame([("b.py",)], "source_uri string"))
-    assert store.load().nodes.where("source_uri = 'b.py'").count() == 0 and store.stats()["file_state"] == 2
+    assert store.search_text("caller").count() == 0 and store.load().nodes.where("source_uri = 'b.py'").count() == 0 and store.stats()["file_state"] == 2
     store.rebuild_embeddings()
     store.rebuild_index()
     assert {r.id for r in store.search_text("fresh").collect()} == {r.id for r in store.load().nodes.where("name = 'fresh'").collect()} and store.stats()["embeddings"] == store.load().nodes.where("qualified_name not like 'call::%'").count()
