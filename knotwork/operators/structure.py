@@ -190,7 +190,11 @@ def _cores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.array(core, dtype=np.int64)
 
 
-def core_numbers(graph: PropertyGraph, small: int = SMALL_LINKS) -> DataFrame:
+#: Pairs up to which one task peels the whole graph: its lists take about 100 bytes a pair.
+CORE_LINKS = 1_000_000
+
+
+def core_numbers(graph: PropertyGraph, small: int = CORE_LINKS) -> DataFrame:
     """(id, core) of the undirected simple graph: repeated h-index of the neighbours' values.
 
     Starting from the degrees, each node takes the largest h such that h neighbours have at least h; this
