@@ -59,6 +59,20 @@ def test_communities_are_connected_and_beat_components(spark, algorithm, small):
     assert comm.modularity(g, c).first()[0] > comm.modularity(g, whole).first()[0]
 
 
+def test_above_the_bound_blocks_shrink_the_graph_until_the_kernel_takes_it(spark, monkeypatch):
+    """No synchronous rounds over the whole graph, and as good a division as the kernel's of all links."""
+    g, _ = ring_of_cliques(spark, 30, 6)
+    whole = comm.modularity(g, comm.detect(g)).first()[0]
+
+    def never(*_):
+        raise AssertionError("synchronous rounds")
+
+    monkeypatch.setattr(comm, "_moves", never)
+    found = comm.detect(g, "leiden", comm.Options(small=500)).cache()
+    assert labels(comm.enforce_connected(found, g.undirected())) == labels(found) and len(labels(found)) == 180
+    assert comm.modularity(g, found).first()[0] > 0.97 * whole
+
+
 def test_quality_of_dense_pairs(spark):
     g = make(spark, [(i, "function", f"x{i}") for i in range(4)], [(0, 1, "calls"), (1, 0, "calls"), (2, 3, "calls"), (3, 2, "calls")])
     c = comm.detect(g)
