@@ -73,6 +73,12 @@ def test_above_the_bound_blocks_shrink_the_graph_until_the_kernel_takes_it(spark
     assert comm.modularity(g, found).first()[0] > 0.97 * whole
 
 
+def test_candidates_of_calls_carry_no_text(spark):
+    g = make(spark, [(0, "function", "f", {"source_text": "let p = Parser::new(); p.read()"}), (1, "function", "??", {"qualified_name": f"{enrich.PLACEHOLDER}read"}), (2, "method", "read"), (3, "method", "read", {"qualified_name": "n::read"})], [(0, 1, "calls", {"call_receiver": "p"})])
+    rows = enrich.call_candidates(g)
+    assert "from_text" not in rows.columns and {(r.candidate, r.bound_type) for r in rows.collect()} == {(2, "Parser"), (3, "Parser")}
+
+
 def test_quality_of_dense_pairs(spark):
     g = make(spark, [(i, "function", f"x{i}") for i in range(4)], [(0, 1, "calls"), (1, 0, "calls"), (2, 3, "calls"), (3, 2, "calls")])
     c = comm.detect(g)
